@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["mixing", "sharding"]
+MODULES = ["mixing", "bytebpe", "shingles", "sharding"]
 
 QUERIES = {}
 SQL = {}
