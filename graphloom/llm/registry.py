@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["mixing", "bytebpe", "shingles", "sharding", "toxicity"]
+MODULES = ["interpolation", "mixing", "bytebpe", "shingles", "sharding", "toxicity"]
 
 QUERIES = {}
 SQL = {}
