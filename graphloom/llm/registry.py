@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["interpolation", "mixing", "bytebpe", "shingles", "embeddings", "sharding", "toxicity"]
+MODULES = ["spotsigs", "interpolation", "mixing", "bytebpe", "shingles", "embeddings", "sharding", "toxicity"]
 
 QUERIES = {}
 SQL = {}
