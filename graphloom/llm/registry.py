@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["spotsigs", "interpolation", "quotes", "mixing", "bytebpe", "shingles", "embeddings", "sharding", "toxicity"]
+MODULES = ["secrets", "spotsigs", "interpolation", "quotes", "mixing", "bytebpe", "shingles", "embeddings", "sharding", "toxicity"]
 
 QUERIES = {}
 SQL = {}

@@ -76,10 +76,9 @@ def shard(rows: DataFrame, key: str, shards: list[Shard], rows_a_bucket: int = 5
     """``rows`` with ``shard`` and ``slot``, the row's gapless place in its shard from 0.
 
     Slots come from running totals over hash buckets, at least 64 a shard and more as the table grows, so no task
-    holds a whole shard. ``rows`` is read three times (once to count) and should be narrow.
+    holds a whole shard. Columns named shard and slot are replaced. ``rows`` is read three times (once to count) and should be narrow.
     """
-    if {"shard", "slot"} & set(rows.columns):
-        raise ValueError("the input has a column named shard or slot")
+    rows = rows.drop("shard", "slot")
     buckets = max(64, rows.count() // (rows_a_bucket * len(shards)) + 1)
     cut = rows.withColumn("shard", place(F.col(key), shards))
     order = [key, *sorted(c for c in rows.columns if c != key)]

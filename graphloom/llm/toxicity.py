@@ -293,9 +293,8 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score`` and ``predicted``; ``docs`` needs ``text``."""
-    if {"score", "predicted"} & set(docs.columns):
-        raise ValueError("the input has a column named score or predicted")
+    """``docs`` with ``score`` and ``predicted``, which replace columns of these names; ``docs`` needs ``text``."""
+    docs = docs.drop("score", "predicted")
     told, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,6 +305,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
+def accept(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` whose ``text`` scores below REJECT."""
+    told, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(told.value.scores(b.column(at)) < REJECT))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     scored = score(docs, fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
