@@ -105,7 +105,8 @@ class Mix:
         drawn = [(j, i, int(starts[j, i]), int(counts[j, i]), blocks[i]) for j in range(shards) for i in range(len(found)) if counts[j, i]]
         slots = spark.createDataFrame(drawn, "shard int, code int, first long, n long, blocks long")
         piece = 1 << 14  # slots made from one row
-        slots = slots.withColumn("_part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / piece)))).repartition("shard", "code", "_part")
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) // 200_000)  # with a number, adaptive execution keeps them apart
+        slots = slots.withColumn("_part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / piece)))).repartition(tasks, "shard", "code", "_part")
         slots = slots.withColumn("slot", F.explode(F.sequence(F.col("_part") * piece, F.least(F.col("n"), (F.col("_part") + 1) * piece) - 1)))
         slots = slots.withColumn("_g", F.col("first") + F.col("slot")).withColumn("pass", F.floor(F.col("_g") / F.col("blocks")).cast("int"))
         slots = slots.withColumn("block", permuted(F.pmod("_g", "blocks"), F.col("blocks"), F.col("code"), F.col("pass")))
@@ -122,7 +123,8 @@ class Mix:
     def taken(self, keys: list[str]) -> DataFrame:
         """(keys..., code, size, taken): the words that the mix takes of each row, repeats counted."""
         times = self.slots.groupBy("code", "block").agg(F.count("*").alias("times"))
-        used = self.pieces.join(times, ["code", "block"], "left").groupBy("code", "_start", *keys, "size")
+        # the planner takes the slots for as small as the counts they are made from, and would broadcast them
+        used = self.pieces.hint("merge").join(times, ["code", "block"], "left").groupBy("code", "_start", *keys, "size")
         used = used.agg(F.sum((F.col("upto") - F.col("from")) * F.coalesce("times", F.lit(0))).cast("long").alias("taken")).drop("_start")
         return used.unionByName(self.rows.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
 
