@@ -6,7 +6,8 @@ share something (sets near the upper edge of a band also enter the next one). Th
 in many texts last, by their counts, the others by hash; any one order is right, this one keeps what thousands of
 texts share out of the tiles. Equal sets stand for one another from the start. Then, twice:
 
-1. each set is compared with the least set of its tiles, and links are closed to components;
+1. each set is compared with the least set of its tiles, and links are closed to components (tiles with the same
+   members, as the n-grams of one passage make them, count as one);
 2. sets of one tile that are still in different components are compared with each other, in blocks.
 
 A comparison first bounds the overlap from above by bit counts of hashed bitmaps, and only then intersects the sorted
@@ -32,11 +33,12 @@ from ..plans.staging import stage
 from . import textkit as K
 
 N, SIMILAR = 5, 80  # words in an n-gram; per cent
-BITS = 256
+BITS = 1024
+WORDS = [f"b{i}" for i in range(BITS // 64)]
 #: Sizes of a band: 4**band and up. Sets of size s may link with sizes up to s * 100 / SIMILAR.
 BAND = 4
 #: Common n-grams: in so many texts of one task, in so many of all; no more than these are kept, which bounds the broadcast.
-LOCAL, COMMON, MOST_COMMON = 4, 32, 1 << 17
+LOCAL, COMMON, MOST_COMMON = 3, 16, 1 << 17
 #: Rows of a tile compared as a block in step 2.
 BLOCK = 512
 
@@ -103,14 +105,20 @@ def _bands(n: int) -> list[int]:
     return [band, band + 1] if n * 100 >= SIMILAR * BAND ** (band + 1) else [band]
 
 
+FIRST = "kind int, a long, b long, c long, " + ", ".join(f"{w} long" for w in WORDS)
+
+
 def _sets_and_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: (doc_id, set, n) of each text; kind 1: (n-gram, -, texts) of those in LOCAL different sets here."""
+    """kind 0: (doc_id, set, n, bitmap where the set is new here) of each text; kind 1: (n-gram, -, texts) of those in LOCAL different sets here."""
     seen: set[int] = set()
     held: list[np.ndarray] = []
     total = 0
 
-    def batch(kind, a, b, c):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], ["kind", "a", "b", "c"])
+    def batch(kind, a, b, c, bits=None):
+        bits = np.zeros((len(b), len(WORDS)), np.int64) if bits is None else bits
+        new = np.any(bits != 0, 1)
+        words = [pa.array(np.ascontiguousarray(bits[:, i]), mask=~new) for i in range(len(WORDS))]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), *words], ["kind", "a", "b", "c", *WORDS])
 
     def common():
         found, n = np.unique(np.concatenate(held), return_counts=True)
@@ -118,18 +126,19 @@ def _sets_and_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         return batch(1, found[keep].view(np.int64), np.zeros(int(keep.sum()), np.int64), n[keep])
 
     for b in batches:
-        keys, sizes = [], []
-        for s in shingle_sets(b.column(1)):
+        keys, sizes, bits = [], [], np.zeros((len(b), len(WORDS)), np.int64)
+        for i, s in enumerate(shingle_sets(b.column(1))):
             keys.append(_set_key(s))
             sizes.append(len(s))
             if keys[-1] not in seen and len(s):
                 seen.add(keys[-1])
+                bits[i] = _bitmap(s)
                 held.append(s)
                 total += len(s)
             if total >= 4_000_000:
                 yield common()
                 held, total, seen = [], 0, set()
-        yield batch(0, b.column(0).cast(pa.int64()), np.array(keys, np.int64), np.array(sizes, np.int64))
+        yield batch(0, b.column(0).cast(pa.int64()), np.array(keys, np.int64), np.array(sizes, np.int64), bits)
     if held:
         yield common()
 
@@ -177,31 +186,28 @@ def _wanted(spark: SparkSession, ids: DataFrame):
 
 
 def _arrays(told):
-    """(set, n, b0.., members) of the sets that may be wanted, once a task."""
+    """(set, members) of the sets that may be wanted, once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = told.value, set()
         mask = len(bits) * 64 - 1
         for b in batches:
             rows = []
-            for s in shingle_sets(b.column(1)):
+            for s in shingle_sets(b.column(0)):
                 if not len(s) or (key := _set_key(s)) in seen:
                     continue
                 if all(int(bits[x >> 6]) >> (x & 63) & 1 for x in (key & mask, (key & (1 << 64) - 1) >> 32 & mask)):
                     if len(seen) >= 1_000_000:
                         seen.clear()
                     seen.add(key)
-                    rows.append((key, len(s), *_bitmap(s).tolist(), s.tobytes()))
+                    rows.append((key, s.tobytes()))
             if rows:
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[2:-1]), pa.array(columns[-1], pa.binary())], ["set", "n", *WORDS, "members"])
+                keys, members = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(members, pa.binary())], ["set", "members"])
 
     return run
 
 
-WORDS = [f"b{i}" for i in range(BITS // 64)]
-
-
 def _may_link(x: str, y: str):
     """Whether the sets of two rows can be similar: a bit that one bitmap alone has stands for a member that its set alone has."""
     only = lambda a, b: sum((F.bit_count(F.col(f"{a}{w}").bitwiseAND(F.bitwise_not(F.col(f"{b}{w}")))) for w in WORDS), F.lit(0))
@@ -214,9 +220,11 @@ def _named(df: DataFrame, prefix: str) -> DataFrame:
     return df.select([F.col(c).alias(prefix + c) for c in df.columns])
 
 
-def _exact(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
-    """The pairs (a, b) of which the sorted arrays are similar."""
-    members = arrays.select("set", "members")
+def _exact(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of which the sorted arrays are similar. The texts are read again for the arrays of the sets in ``pairs``."""
+    ids = stage(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct())
+    members = docs.select("text").mapInArrow(_arrays(_wanted(docs.sparkSession, ids)), "set long, members binary").dropDuplicates(["set"])
+    members = stage(members.join(ids, "set", "left_semi"))
     full = pairs.join(_named(members, "x_"), F.col("a") == F.col("x_set")).join(_named(members, "y_"), F.col("b") == F.col("y_set"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,44 +232,49 @@ def _exact(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
             keep = [similar(np.frombuffer(x.as_buffer(), K.U64), np.frombuffer(y.as_buffer(), K.U64)) for x, y in zip(t.column(2), t.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return full.select("a", "b", "x_members", "y_members").mapInArrow(run, "a long, b long")
+    return stage(full.select("a", "b", "x_members", "y_members").mapInArrow(run, "a long, b long"))
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of ``docs(doc_id, text)``: components of documents that link."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = stage(docs.mapInArrow(_sets_and_common, "kind int, a long, b long, c long"))
+    first = stage(docs.mapInArrow(_sets_and_common, FIRST))
     sets = first.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("set"), F.col("c").alias("n_shingles"))
     counts = first.where("kind = 1").groupBy("a").agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON)
-    top = counts.orderBy(F.desc("c"), "a").limit(MOST_COMMON).toPandas().sort_values("a")
+    top = counts.orderBy(F.desc("c"), "a").limit(MOST_COMMON).toPandas()
     order = np.argsort(top["a"].to_numpy(np.int64).view(K.U64))
     told = spark.sparkContext.broadcast((top["a"].to_numpy(np.int64).view(K.U64)[order], top["c"].to_numpy(np.int64)[order]))
 
     tile = Window.partitionBy("gram", "band")
     entries = docs.mapInArrow(_prefixes(told), "gram long, band int, set long, n int")
-    tiles = stage(entries.withColumn("lo", F.min("set").over(tile)).withColumn("hi", F.max("set").over(tile)).where("lo <> hi").drop("hi"))
-    arrays = docs.mapInArrow(_arrays(_wanted(spark, tiles.select("set").distinct())), "set long, n int, " + ", ".join(f"{w} long" for w in WORDS) + ", members binary")
-    arrays = stage(arrays.dropDuplicates(["set"]))
-    brief = arrays.drop("members")
+    tiles = entries.select("gram", "band", "set").withColumn("lo", F.min("set").over(tile)).withColumn("hi", F.max("set").over(tile))
+    # n-grams of one passage make tiles of the same members, which count as one tile: its name is made from its members
+    tiles = tiles.withColumn("tile", F.sum(F.xxhash64("set", F.lit(7)).bitwiseAND(F.lit((1 << 40) - 1))).over(tile)).where("lo <> hi")
+    tiles = stage(tiles.select("band", "tile", "lo", "set").distinct())
+    brief = first.where("kind = 0 and b0 is not null").select(F.col("b").alias("set"), F.col("c").alias("n"), *WORDS).dropDuplicates(["set"])
+    brief = stage(brief.join(tiles.select("set").distinct(), "set", "left_semi"))
 
     # 1: each set against the least of its tile
     pairs = tiles.where("set <> lo").select(F.col("lo").alias("a"), F.col("set").alias("b")).distinct()
     pairs = pairs.join(_named(brief, "x_"), F.col("a") == F.col("x_set")).join(_named(brief, "y_"), F.col("b") == F.col("y_set")).where(_may_link("x_", "y_"))
-    links = stage(_exact(pairs.select("a", "b"), arrays))
+    links = _exact(docs, stage(pairs.select("a", "b")))
     roots = stage(connected_components(links))
 
     # 2: members of a tile, but for its least, that are still apart
-    apart = tiles.where("set <> lo").join(roots, tiles["set"] == roots["node"], "left").select("gram", "band", "set", F.coalesce("root", "set").alias("comp")).distinct()
+    tile = Window.partitionBy("band", "tile")
+    apart = tiles.where("set <> lo").join(roots, tiles["set"] == roots["node"], "left").select("band", "tile", "set", F.coalesce("root", "set").alias("comp")).distinct()
     apart = apart.withColumn("c1", F.min("comp").over(tile)).withColumn("c2", F.max("comp").over(tile)).withColumn("m", F.count("*").over(tile)).where("c1 <> c2")
     apart = stage(apart.join(brief, "set").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).drop("c1", "c2", "m"))
     x = _named(apart.withColumn("block", F.pmod("set", "blocks")), "x_")
     y = _named(apart.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "y_")
-    same = (F.col("x_gram") == F.col("y_gram")) & (F.col("x_band") == F.col("y_band")) & (F.col("x_block") == F.col("y_block"))
+    same = (F.col("x_tile") == F.col("y_tile")) & (F.col("x_band") == F.col("y_band")) & (F.col("x_block") == F.col("y_block"))
     more = x.join(y, same & (F.col("x_set") < F.col("y_set")) & (F.col("x_comp") != F.col("y_comp")) & _may_link("x_", "y_"))
-    more = stage(_exact(more.select(F.col("x_set").alias("a"), F.col("y_set").alias("b")).distinct(), arrays))
+    more = stage(more.select(F.col("x_set").alias("a"), F.col("y_set").alias("b")).distinct())
     if more.take(1):
-        roots = stage(connected_components(links.union(more)))
+        again = _exact(docs, more)
+        if again.take(1):
+            roots = stage(connected_components(links.union(again)))
 
     known = sets.join(roots, sets["set"] == roots["node"], "left").select("doc_id", "n_shingles", F.coalesce("root", "set").alias("comp"))
     least = known.where("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
@@ -269,6 +282,14 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each_class(docs: DataFrame) -> DataFrame:
+    """``docs`` without the documents that link, directly or not, to one of a smaller doc_id. Rows of one doc_id are one document, of which the row of the least text stays; null doc_ids stay."""
+    gone = jaccard_classes(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    first = Window.partitionBy("doc_id").orderBy("text")
+    return kept.withColumn("_nth", F.row_number().over(first)).where("_nth = 1 or doc_id is null").drop("_nth")
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
