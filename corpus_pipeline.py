@@ -1,8 +1,47 @@
-"""The corpus pipeline."""
+"""From raw documents to token ids: toxic texts out, one of each group of near copies, secrets out, sources mixed, encoded.
 
-STAGES = []
+Each stage takes what the one before it kept, as Parquet. Documents that are not rejected pass the filtering stages
+unchanged; a secret in a text is replaced by a mark; the mix takes runs of words, so a document may come back as
+several rows, or as none where its source is above its target.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.llm import bytebpe, mixing, secrets, shingles, toxicity
+from graphloom.plans.staging import stage
+
+
+def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.accept(docs, toxicity.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return shingles.one_of_each_class(docs)
+
+
+def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bytebpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids_too=True)
+
+
+STAGES = [("toxicity", toxic_out), ("n-gram Jaccard join", near_copies_out), ("secret scans", secrets_out), ("mixing sources", mixed), ("byte-level BPE", encoded)]
+#: The first stage's network can't be expressed in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, function in STAGES[:-1]:
+        docs = stage(function(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -14,7 +14,12 @@ repeated rows are rows of their own; an empty table gives an empty result; furth
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,6 +134,49 @@ class Mix:
         return used.unionByName(self.rows.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
 
 
+def _cut(text: str, spans: list[tuple[int, int]]) -> list[str]:
+    """The text of each run of words (from, upto)."""
+    raw = text.encode()
+    at = [m.span() for m in re.finditer(WORD.encode(), raw)]
+    return [text if (a, z) == (0, len(at)) else raw[at[a][0] : at[z - 1][1]].decode() for a, z in spans]
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The mix as rows like ``docs(text, source, ...)``: for each pass, every longest run of a document's words that lies in drawn blocks, as a row of its own; ``n_chars``, where there is one, is that of the run."""
+    keys = ["_mix_file", "_mix_row"]
+    where = [F.xxhash64("_metadata.file_path").alias(keys[0]), F.col("_metadata.row_index").alias(keys[1])]
+    columns = docs.columns
+    try:
+        rows = docs.select("*", *where)
+    except AnalysisException:  # not a scan of files
+        rows = stage(docs).select("*", *where)
+    mix = Mix(stage(rows.select(*keys, "source", word_count(F.col("text")).alias("size"))), keys)
+    times = mix.slots.groupBy("code", "block").agg(F.count("*").alias("times"))
+    used = mix.pieces.hint("merge").join(times, ["code", "block"]).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("from", "upto", "times"))).alias("_mix_used"))
+    full = rows.join(used, keys).drop(*keys)
+    at, chars = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, texts = [], []
+            for i, (text, used) in enumerate(zip(b.column(at).to_pylist(), b.column(len(columns)).to_pylist(), strict=True)):
+                for turn in range(max(u["times"] for u in used)):
+                    spans: list[tuple[int, int]] = []
+                    for u in used:
+                        if u["times"] > turn:
+                            joins = spans and spans[-1][1] == u["from"]
+                            spans[len(spans) - bool(joins) :] = [(spans[-1][0] if joins else u["from"], u["upto"])]
+                    texts += _cut(text, spans)
+                    rows += [i] * len(spans)
+            out = b.take(pa.array(rows, pa.int64())).columns[: len(columns)]
+            out[at] = pa.array(texts, out[at].type)
+            if chars is not None:
+                out[chars] = pa.array([len(t) for t in texts]).cast(out[chars].type)
+            yield pa.RecordBatch.from_arrays(out, columns)
+
+    return full.select(*columns, "_mix_used").mapInArrow(run, docs.schema)
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     mix = Mix(stage(docs), ["doc_id"])
