@@ -39,8 +39,8 @@ WORDS = [f"b{i}" for i in range(BITS // 64)]
 BAND = 4
 #: Common n-grams: in so many texts of one task, in so many of all; no more than these are kept, which bounds the broadcast.
 LOCAL, COMMON, MOST_COMMON = 3, 16, 1 << 17
-#: Rows of a tile compared as a block in step 2.
-BLOCK = 512
+#: Rows of a tile compared as a block in step 2; sets whose arrays meet in one place; tiles of a set by which a pair is told apart.
+BLOCK, CROWD, FEW = 512, 1000, 16
 
 
 def shingle_sets(column: pa.Array, n: int = N) -> Iterator[np.ndarray]:
@@ -221,18 +221,43 @@ def _named(df: DataFrame, prefix: str) -> DataFrame:
 
 
 def _exact(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of which the sorted arrays are similar. The texts are read again for the arrays of the sets in ``pairs``."""
+    """Links (a, b) that connect whatever the similar ones of ``pairs`` connect.
+
+    Pairs that hang together are dealt to one bucket, so that an array moves to few of them; what hangs together with
+    more than CROWD sets is dealt to buckets by blocks of both sides. The texts are read again for the arrays. Within a
+    bucket, pairs that are connected already are not compared.
+    """
+    spark = docs.sparkSession
+    hung = stage(connected_components(pairs))
+    near = lambda c: F.coalesce(F.col(f"{c}_root"), F.col(c))
+    named = pairs.join(hung.select(F.col("node").alias("a"), F.col("root").alias("a_root")), "a", "left").withColumn("crowd", near("a"))
+    sizes = hung.groupBy(F.col("root").alias("crowd")).agg(F.ceil((F.count("*") + 1) / CROWD).cast("long").alias("blocks"))
+    block = lambda c: F.when(F.col("blocks") > 1, F.pmod(F.xxhash64(c, F.lit(3)), F.col("blocks"))).otherwise(F.lit(0))
     ids = stage(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct())
-    members = docs.select("text").mapInArrow(_arrays(_wanted(docs.sparkSession, ids)), "set long, members binary").dropDuplicates(["set"])
-    members = stage(members.join(ids, "set", "left_semi"))
-    full = pairs.join(_named(members, "x_"), F.col("a") == F.col("x_set")).join(_named(members, "y_"), F.col("b") == F.col("y_set"))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ids.count() // 2000 + 1)
+    place = F.xxhash64("crowd", F.least(block("a"), block("b")), F.greatest(block("a"), block("b")))
+    dealt = stage(named.join(sizes, "crowd").select("a", "b", F.pmod(place, F.lit(buckets)).cast("int").alias("bucket")))
+    needs = dealt.select(F.col("bucket").alias("place"), F.col("a").alias("set")).union(dealt.select("bucket", "b")).distinct()
+    members = docs.select("text").mapInArrow(_arrays(_wanted(spark, ids)), "set long, members binary").hint("merge").join(needs, "set")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            keep = [similar(np.frombuffer(x.as_buffer(), K.U64), np.frombuffer(y.as_buffer(), K.U64)) for x, y in zip(t.column(2), t.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def run(pairs: pa.Table, arrays: pa.Table) -> pa.Table:
+        sets = {k: np.frombuffer(m.as_buffer(), K.U64) for k, m in zip(arrays.column("set").to_pylist(), arrays.column("members"), strict=True)}
+        root: dict[int, int] = {}
 
-    return stage(full.select("a", "b", "x_members", "y_members").mapInArrow(run, "a long, b long"))
+        def find(x: int) -> int:
+            while (y := root.setdefault(x, x)) != x:
+                root[x] = x = root[y]
+            return x
+
+        out = []
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+            x, y = find(a), find(b)
+            if x != y and similar(sets[a], sets[b]):
+                root[y] = x
+                out.append((a, b))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return stage(dealt.groupBy("bucket").cogroup(members.groupBy("place")).applyInArrow(run, "a long, b long"))
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
@@ -265,11 +290,14 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     tile = Window.partitionBy("band", "tile")
     apart = tiles.where("set <> lo").join(roots, tiles["set"] == roots["node"], "left").select("band", "tile", "set", F.coalesce("root", "set").alias("comp")).distinct()
     apart = apart.withColumn("c1", F.min("comp").over(tile)).withColumn("c2", F.max("comp").over(tile)).withColumn("m", F.count("*").over(tile)).where("c1 <> c2")
-    apart = stage(apart.join(brief, "set").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).drop("c1", "c2", "m"))
+    few = apart.groupBy("set").agg(F.slice(F.sort_array(F.collect_list("tile")), 1, FEW).alias("few"))
+    apart = stage(apart.join(few, "set").join(brief, "set").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).drop("c1", "c2", "m"))
     x = _named(apart.withColumn("block", F.pmod("set", "blocks")), "x_")
     y = _named(apart.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "y_")
     same = (F.col("x_tile") == F.col("y_tile")) & (F.col("x_band") == F.col("y_band")) & (F.col("x_block") == F.col("y_block"))
-    more = x.join(y, same & (F.col("x_set") < F.col("y_set")) & (F.col("x_comp") != F.col("y_comp")) & _may_link("x_", "y_"))
+    # a pair that meets in several tiles counts in the first of those that both sets name, if they name any
+    once = F.coalesce(F.array_min(F.array_intersect("x_few", "y_few")), F.col("x_tile")) == F.col("x_tile")
+    more = x.join(y, same & (F.col("x_set") < F.col("y_set")) & (F.col("x_comp") != F.col("y_comp")) & _may_link("x_", "y_") & once)
     more = stage(more.select(F.col("x_set").alias("a"), F.col("y_set").alias("b")).distinct())
     if more.take(1):
         again = _exact(docs, more)
@@ -295,4 +323,16 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_jaccard": op7_jaccard}
-SQL: dict[str, str] = {}
+SQL = {
+    "op7_jaccard": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS MATERIALIZED (
+  SELECT c.a, c.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY ALL) c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE 100 * c.c >= 80 * (x.n + y.n - c.c)
+), reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.b AS component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) r ON r.a = d.doc_id
+"""
+}
