@@ -35,16 +35,28 @@ def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used: inside lambdas nothing is shared otherwise."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def spots(words: Column) -> Column:
     """The distinct spots of a ``normal`` text."""
     anchors = "|".join(ANCHORS)
-    runs = F.split(F.concat(F.lit("^ "), words), f" (?=(?:{anchors})(?: |$))")
-    # the start's own run may be empty, or end in the blank that follows it
-    runs = F.transform(runs, lambda r: F.substring_index(F.rtrim(r), " ", CHAIN + 1))
-    runs = F.filter(runs, lambda r: F.instr(r, " ") > 0)
-    every = F.split(words, " ")
-    pairs = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(every))), lambda i: F.concat_ws(" ", F.get(every, i - 2), F.get(every, i - 1)))
-    return F.array_distinct(F.when((F.size(runs) * SPARSE < F.size(every)) & (words != ""), pairs).otherwise(runs))
+
+    def runs(w: Column) -> Column:
+        parts = F.split(F.concat(F.lit("^ "), w), f" (?=(?:{anchors})(?: |$))")
+        # the start's own run may be empty, or end in the blank that follows it
+        return F.filter(F.transform(parts, lambda r: F.substring_index(F.rtrim(r), " ", CHAIN + 1)), lambda r: F.instr(r, " ") > 0)
+
+    def pairs(every: Column) -> Column:
+        return F.filter(F.zip_with(every, F.slice(every, F.lit(2), F.greatest(F.size(every), F.lit(1))), lambda x, y: F.concat(x, F.lit(" "), y)), lambda x: x.isNotNull())
+
+    def chosen(w: Column, every: Column, found: Column) -> Column:
+        rare = (F.size(found) * SPARSE < F.size(every)) & (w != "")
+        return F.array_distinct(F.when(rare & (F.size(every) > 1), pairs(every)).when(rare, every).otherwise(found))
+
+    return _once(words, lambda w: _once(F.split(w, " "), lambda every: _once(runs(w), lambda found: chosen(w, every, found))))
 
 
 def digest(set_: Column) -> Column:
