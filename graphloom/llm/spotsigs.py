@@ -3,7 +3,9 @@
 A text's words are runs of letters and digits, lower-cased. A spot is an anchor, a common word or the start of the
 text, with the chain of up to CHAIN content words that follow it before the next anchor. The set of a text's spots is
 its signature; where anchors are rarer than one in SPARSE words, as in a language without any of the listed ones,
-each pair of adjacent words is a spot instead. The fingerprint is a digest of the sorted set; likeness is the Jaccard
+each pair of adjacent words is a spot instead. ``local_spots`` has no such switch: each stretch of more than SPARSE words
+in which no spot starts gives its pairs of adjacent words besides, so what is unchanged keeps its spots, whatever the
+rest of the text is. ``op2_spotsigs`` is by the switch, as its SQL is; ``op2_spotsigs_local`` is by stretches. The fingerprint is a digest of the sorted set; likeness is the Jaccard
 index of two sets. ``spot_pairs`` finds all pairs of a table at or above a likeness: sets are partitioned by length,
 and a pair is compared only if its lengths, and the place of the first spot that it shares, leave the threshold
 within reach.
@@ -40,23 +42,46 @@ def _once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _runs(w: Column) -> Column:
+    """The spots at anchors and at the start."""
+    parts = F.split(F.concat(F.lit("^ "), w), f" (?=(?:{'|'.join(ANCHORS)})(?: |$))")
+    # the start's own run may be empty, or end in the blank that follows it
+    return F.filter(F.transform(parts, lambda r: F.substring_index(F.rtrim(r), " ", CHAIN + 1)), lambda r: F.instr(r, " ") > 0)
+
+
+def _pairs(every: Column) -> Column:
+    return F.filter(F.zip_with(every, F.slice(every, F.lit(2), F.greatest(F.size(every), F.lit(1))), lambda x, y: F.concat(x, F.lit(" "), y)), lambda x: x.isNotNull())
+
+
 def spots(words: Column) -> Column:
     """The distinct spots of a ``normal`` text."""
+
+    def chosen(w: Column, every: Column, found: Column) -> Column:
+        rare = (F.size(found) * SPARSE < F.size(every)) & (w != "")
+        return F.array_distinct(F.when(rare & (F.size(every) > 1), _pairs(every)).when(rare, every).otherwise(found))
+
+    return _once(words, lambda w: _once(F.split(w, " "), lambda every: _once(_runs(w), lambda found: chosen(w, every, found))))
+
+
+def local_spots(words: Column) -> Column:
+    """The distinct spots of a ``normal`` text, and the pairs of adjacent words of its long stretches without a spot's start.
+
+    A text of fewer words that has no spot at all, as one of anchors only, gives its pairs too, or its only word.
+    """
     anchors = "|".join(ANCHORS)
 
-    def runs(w: Column) -> Column:
-        parts = F.split(F.concat(F.lit("^ "), w), f" (?=(?:{anchors})(?: |$))")
-        # the start's own run may be empty, or end in the blank that follows it
-        return F.filter(F.transform(parts, lambda r: F.substring_index(F.rtrim(r), " ", CHAIN + 1)), lambda r: F.instr(r, " ") > 0)
+    def stretches(w: Column) -> Column:
+        parts = F.split(w, f" (?=(?:{anchors}) (?!(?:{anchors})(?: |$)))")
+        return F.filter(parts, lambda r: r.rlike(f"^(?:[^ ]++ ){{{SPARSE}}}"))
 
-    def pairs(every: Column) -> Column:
-        return F.filter(F.zip_with(every, F.slice(every, F.lit(2), F.greatest(F.size(every), F.lit(1))), lambda x, y: F.concat(x, F.lit(" "), y)), lambda x: x.isNotNull())
+    def of(every: Column) -> Column:
+        return F.when(F.size(every) > 1, _pairs(every)).otherwise(every)
 
-    def chosen(w: Column, every: Column, found: Column) -> Column:
-        rare = (F.size(found) * SPARSE < F.size(every)) & (w != "")
-        return F.array_distinct(F.when(rare & (F.size(every) > 1), pairs(every)).when(rare, every).otherwise(found))
+    def all_(w: Column, found: Column) -> Column:
+        long_ = F.flatten(F.transform(stretches(w), lambda r: _once(F.split(r, " "), _pairs)))
+        return _once(F.array_distinct(F.concat(found, long_)), lambda x: F.when((F.size(x) == 0) & (w != ""), F.array_distinct(_once(F.split(w, " "), of))).otherwise(x))
 
-    return _once(words, lambda w: _once(F.split(w, " "), lambda every: _once(runs(w), lambda found: chosen(w, every, found))))
+    return _once(words, lambda w: _once(_runs(w), lambda found: all_(w, found)))
 
 
 def digest(set_: Column) -> Column:
@@ -89,7 +114,7 @@ def spot_pairs(sets: DataFrame, key: str, set_: str, at_least: float = 0.8) -> D
     return full.select("a", "b", likeness(F.col("ah"), F.col("bh")).alias("likeness")).where(F.col("likeness") >= at_least)
 
 
-def with_next(docs: DataFrame, rows_a_bucket: int = 256) -> DataFrame:
+def with_next(docs: DataFrame, rows_a_bucket: int = 256, spots_of=spots) -> DataFrame:
     """``docs(doc_id, text)`` with ``spots``, and the next document's ``next_text`` and ``next_spots``, in descending doc_id; after the last, the first.
 
     Documents are dealt into ranges of doc_id; each range also gets the first document of the range that follows. A
@@ -107,23 +132,31 @@ def with_next(docs: DataFrame, rows_a_bucket: int = 256) -> DataFrame:
     dealt = docs.join(heads, docs["doc_id"].eqNullSafe(F.col("head")), "left")
     own, copy = F.struct(bucket.alias("bucket"), F.lit(0).alias("ghost")), F.struct(F.col("goes").alias("bucket"), F.lit(1).alias("ghost"))
     dealt = dealt.withColumn("_to", F.explode(F.when(F.col("goes").isNull(), F.array(own)).otherwise(F.array(own, copy))))
-    dealt = dealt.select("doc_id", "text", "_to.bucket", "_to.ghost").repartition("bucket").withColumn("spots", spots(normal(F.col("text"))))
+    dealt = dealt.select("doc_id", "text", "_to.bucket", "_to.ghost").repartition("bucket").withColumn("spots", spots_of(normal(F.col("text"))))
     order = Window.partitionBy("bucket").orderBy("ghost", F.desc_nulls_last("doc_id"), "text")
     return dealt.withColumn("next_text", F.lead("text").over(order)).withColumn("next_spots", F.lead("spots").over(order)).where("ghost = 0").drop("bucket", "ghost")
 
 
-def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = with_next(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+def _edited(docs: DataFrame, spots_of) -> DataFrame:
+    out = with_next(docs.select("doc_id", "text"), spots_of=spots_of)
     out = out.withColumn("n_chars", F.char_length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - third).cast("int")), F.substring(F.col("next_text"), F.lit(1), third))
-    out = out.withColumn("edited", edited).withColumn("edited_spots", spots(normal(F.col("edited"))))
+    out = out.withColumn("edited", edited).withColumn("edited_spots", spots_of(normal(F.col("edited"))))
     return out.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest(F.col("spots")).alias("fingerprint"), digest(F.col("edited_spots")).alias("edited_fingerprint"),
         likeness(F.col("spots"), F.col("edited_spots")).alias("near_edited"), likeness(F.col("spots"), F.col("next_spots")).alias("near_next"),
     )
 
 
+def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edited(spark.read.parquet(f"{sf_dir}/documents.parquet"), spots)
+
+
+def op2_spotsigs_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edited(spark.read.parquet(f"{sf_dir}/documents.parquet"), local_spots)
+
+
 def _sql_spots(text: str) -> str:
     anchors = "[" + ", ".join(f"'{a}'" for a in ANCHORS) + "]"
     return f"""(SELECT list_distinct(CASE WHEN len(runs) * {SPARSE} < len(w) AND w <> [''] THEN pairs ELSE runs END) FROM (
@@ -137,7 +170,7 @@ def _sql_like(x: str, y: str) -> str:
     return f"CASE WHEN len({x}) = 0 AND len({y}) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect({x}, {y}))::DOUBLE / (len({x}) + len({y}) - len(list_intersect({x}, {y}))) END"
 
 
-QUERIES = {"op2_spotsigs": op2_spotsigs}
+QUERIES = {"op2_spotsigs": op2_spotsigs, "op2_spotsigs_local": op2_spotsigs_local}
 SQL = {
     "op2_spotsigs": f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id DESC NULLS LAST, coalesce(text, '')) AS r, count(*) OVER () AS n FROM documents),
