@@ -12,7 +12,8 @@ What thousands of messages say is first reduced to its earliest source, before i
 doubling; messages that have reached their first one leave the rounds.
 
 Cases: null text counts as empty; repeated equal rows are one row with their number in ``copies``; rows with null conv_id or
-turn have no answers and answer nothing; deeper quotes count for the message that quotes them; an empty table gives an empty result; texts of any length
+turn have no answers and answer nothing; deeper quotes count for the message that quotes them (``op4_quotes``, as in its
+SQL) or only between equals (``by_level``, ``op4_quotes_levels``); an empty table gives an empty result; texts of any length
 are taken whole; further columns are not read.
 """
 
@@ -61,9 +62,22 @@ def _units(rows: DataFrame, quoted: bool) -> DataFrame:
     return out.select("conv_id", "turn", F.xxhash64("u.normal", F.lit(4)).alias("hash"), F.char_length("u.normal").alias("chars")).distinct()
 
 
-def answers(rows: DataFrame) -> DataFrame:
-    """(conv_id, turn, parent_conv, parent_turn, by): what each message answers."""
-    quoted = stage(_units(rows, True))
+def _quoted(rows: DataFrame) -> DataFrame:
+    """(conv_id, turn, hash, chars, outer) of quoted passages and lines, each once a message; ``outer``: it is quoted at the first level."""
+    units = F.concat(*[F.transform(c, lambda p: F.struct(p["level"].alias("level"), p["normal"].alias("normal"))) for c in ("passages", "lines")])
+    some = F.filter(units, lambda u: (u["level"] > 0) & (u["normal"] != ""))
+    out = rows.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(F.array_distinct(some)).alias("u"))
+    out = out.select("conv_id", "turn", F.xxhash64("u.normal", F.lit(4)).alias("hash"), F.char_length("u.normal").alias("chars"), "u.level")
+    return out.groupBy("conv_id", "turn", "hash", "chars").agg((F.min("level") == 1).alias("outer"))
+
+
+def answers(rows: DataFrame, by_level: bool = False) -> DataFrame:
+    """(conv_id, turn, parent_conv, parent_turn, by): what each message answers.
+
+    ``by_level``: characters quoted at the first level decide; those of deeper levels, which the answered message quotes
+    itself, count only between equals.
+    """
+    quoted = stage(_quoted(rows) if by_level else _units(rows, True))
     said = _units(rows, False).join(quoted.select("hash").distinct(), "hash", "left_semi")
     near = said.groupBy("hash", "conv_id").agg(F.min("turn").alias("near_turn"))
     far = said.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("far"))
@@ -71,9 +85,10 @@ def answers(rows: DataFrame) -> DataFrame:
     here = F.when(F.col("near_turn") < F.col("turn"), F.struct("conv_id", F.col("near_turn").alias("turn")))
     there = F.when(F.struct("conv_id", "turn") > F.col("far"), F.col("far"))
     found = found.withColumn("parent", F.coalesce(here, there)).where("parent is not null")
-    votes = found.groupBy("conv_id", "turn", "parent").agg(F.sum("chars").alias("chars"))
+    outer = F.sum(F.when(F.col("outer"), F.col("chars")).otherwise(0)) if by_level else F.lit(0)
+    votes = found.groupBy("conv_id", "turn", "parent").agg(outer.alias("outer"), F.sum("chars").alias("chars"))
     # most characters; of equals the same conversation, then the latest
-    rank = F.struct("chars", (F.col("parent.conv_id") == F.col("conv_id")).alias("same"), "parent")
+    rank = F.struct("outer", "chars", (F.col("parent.conv_id") == F.col("conv_id")).alias("same"), "parent")
     best = votes.groupBy("conv_id", "turn").agg(F.max(rank).alias("best")).select("conv_id", "turn", F.col("best.parent").alias("quoted"))
     nodes = rows.where("conv_id is not null and turn is not null").select("conv_id", "turn").distinct()
     before = nodes.select("conv_id", (F.col("turn") + 1).alias("turn"), F.struct("conv_id", "turn").alias("before"))
@@ -97,9 +112,9 @@ def threads(edges: DataFrame) -> DataFrame:
         now = then
 
 
-def linked(rows: DataFrame) -> DataFrame:
+def linked(rows: DataFrame, by_level: bool = False) -> DataFrame:
     rows = stage(messages(rows))
-    edges = stage(answers(rows))
+    edges = stage(answers(rows, by_level))
     told = edges.join(threads(edges), ["conv_id", "turn"])
     own = F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["said"]), "\n")
     facts = rows.select(
@@ -113,7 +128,11 @@ def op4_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-QUERIES = {"op4_quotes": op4_quotes}
+def op4_quotes_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked(spark.read.parquet(f"{sf_dir}/conversations.parquet"), by_level=True)
+
+
+QUERIES = {"op4_quotes": op4_quotes, "op4_quotes_levels": op4_quotes_levels}
 SQL = {
     "op4_quotes": r"""
 WITH RECURSIVE m AS MATERIALIZED (
