@@ -324,8 +324,8 @@ def canonical_mapping(spark, sf):
     return merge.canonical_mapping(_same(spark, sf))
 
 
-def _graph(spark, sf) -> DataFrame:
-    rows = _same(spark, sf)
+def _graph(spark, sf, links=_same) -> DataFrame:
+    rows = links(spark, sf)
     line = lambda s, o: F.concat(F.lit("<"), s, F.lit(">\t<http://x/p/near> "), o, F.lit(" ."))
     return rows.select(line(F.col("left"), F.concat(F.lit("<"), "right", F.lit(">"))).alias("value")).union(rows.select(line(F.col("right"), F.lit('"<http://x/supplier/1>"@en'))))
 
@@ -345,6 +345,46 @@ def merge_graphs(spark, sf):
     return merge.merge_graphs([_graph(spark, sf), notes], _same(spark, sf))
 
 
+# the same over whole tables: every customer with an order, nothing left out by a residue
+
+
+def _bought(spark, sf) -> DataFrame:
+    """A link of each order's customer with the supplier of each of its lineitems; scores around the threshold."""
+    orders, items = _table(spark, sf, "orders"), _table(spark, sf, "lineitem")
+    rows = orders.join(items, F.col("o_orderkey") == F.col("l_orderkey"))
+    return rows.select(F.concat(F.lit("http://x/customer%2F"), "o_custkey").alias("left"), F.concat(F.lit("http://x/supplier/"), "l_suppkey").alias("right"), (F.pmod("o_orderkey", F.lit(10)) / F.lit(10.0)).alias("score"))
+
+
+_BOUGHT = "SELECT 'http://x/customer%2F' || o_custkey AS \"left\", 'http://x/supplier/' || l_suppkey AS \"right\", (o_orderkey % 10) / 10e0 AS score FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
+#: Each node takes the least of its neighbours' least nodes until none changes: the pairs of a component are never made.
+_LEAST = f"""links AS MATERIALIZED ({_BOUGHT}), nodes AS (SELECT "left" AS u FROM links UNION SELECT "right" FROM links),
+edges AS MATERIALIZED (SELECT "left" AS a, "right" AS b FROM links WHERE score >= 0.7e0 AND "left" <> "right" UNION SELECT "right", "left" FROM links WHERE score >= 0.7e0 AND "left" <> "right"),
+least_(u, p) USING KEY (u) AS (SELECT u, {{'p': contains(u, '%'), 'n': length(u), 'u': u}} AS p FROM nodes
+  UNION SELECT e.a, min(l.p) FROM least_ l JOIN edges e ON e.b = l.u JOIN recurring.least_ k ON k.u = e.a WHERE l.p < k.p GROUP BY e.a),
+mapping AS MATERIALIZED (SELECT u AS old, p.u AS canonical FROM least_)"""
+
+
+@query(f"WITH RECURSIVE {_LEAST} SELECT canonical, count(*) AS members FROM mapping GROUP BY canonical")
+def components_whole(spark, sf):
+    return merge.canonical_mapping(_bought(spark, sf)).groupBy("canonical").agg(F.count("*").alias("members"))
+
+
+@query(f"WITH RECURSIVE {_LEAST} SELECT old, canonical FROM mapping")
+def canonical_mapping_whole(spark, sf):
+    return merge.canonical_mapping(_bought(spark, sf))
+
+
+@query(f"WITH RECURSIVE {_LEAST} {_GRAPH}")
+def rewrite_triples_whole(spark, sf):
+    return merge.rewrite_lines(_graph(spark, sf, _bought), merge.canonical_mapping(_bought(spark, sf)))
+
+
+@query(f"WITH RECURSIVE {_LEAST} SELECT DISTINCT value FROM ({_GRAPH} UNION ALL SELECT '# ' || r_name FROM region)")
+def merge_graphs_whole(spark, sf):
+    notes = _table(spark, sf, "region").select(F.concat(F.lit("# "), "r_name").alias("value"))
+    return merge.merge_graphs([_graph(spark, sf, _bought), notes], _bought(spark, sf))
+
+
 @query("SELECT DISTINCT text AS value FROM conversations WHERE text IS NOT NULL")
 def distinct_lines(spark, sf):
     return merge.distinct_lines(_table(spark, sf, "conversations").where("text is not null").select(F.col("text").alias("value")))
