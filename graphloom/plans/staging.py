@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Shuffles of a query that has ended are deleted at once: what was staged needs them no more.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; where that is unset (tests, local mode), a temporary folder of our own."""
+    """The cluster's ``spark.checkpoint.dir``. In local mode, where it may be unset, a temporary folder of our own; a cluster without it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = spark.conf.get("graphloom.staging.dir", None)
         if not found:
             found = tempfile.mkdtemp(prefix="graphloom-")
@@ -19,20 +26,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` once and read it back: its plan is then a scan, which survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _cleaned(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
 
 
-def unstage(df: DataFrame) -> None:
-    """Delete the files of a ``stage()`` result that nothing reads any more."""
-    path = getattr(df, "_staged_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+def unstage(*tables: DataFrame) -> None:
+    """Delete the files of ``stage()`` results that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_staged_path", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
