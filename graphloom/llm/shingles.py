@@ -2,16 +2,19 @@
 
 Sets of distinct word n-grams are compared by size-banded tiles. A tile holds the sets of one band of sizes that
 share one n-gram of their prefixes; a prefix is the part of a set, rarest first, of which two sets that link must
-share something (sets near the upper edge of a band also enter the next one). The order is: n-grams that are common
-in many texts last, by their counts, the others by hash; any one order is right, this one keeps what thousands of
-texts share out of the tiles. Equal sets stand for one another from the start. Then, twice:
+share something (sets near the upper edge of a band also enter the next one). Equal sets stand for one another from
+the start. Then:
 
-1. each set is compared with the least set of its tiles, and links are closed to components (tiles with the same
-   members, as the n-grams of one passage make them, count as one);
-2. sets of one tile that are still in different components are compared with each other, in blocks.
+1. Sieve. Each set's n-grams are put in one order for all: by hash, those that are common in many texts last. Two sets that
+   link share at least l of their first n - ceil(n * SIMILAR / 100) + l, so a set that shares fewer with others is out.
+2. The n-grams of the sets that are left are counted exactly. One that only one set has is in no overlap; a set without
+   enough others is out. The rest are ordered rarest first, and make tiles by their prefixes.
+3. The sets that meet the least set of a tile are one group, so a set enters few groups, and each pair of a tile is in one.
+   A group's arrays go to one place, in blocks where it is large. There, a bound from above on the overlap, of sizes and of bit
+   counts of hashed bitmaps, decides which pairs are intersected, exactly, as sorted arrays; sets that are connected already are not compared.
+4. Sets of a large group that are still outside of its largest component are compared with all blocks of the group.
 
-A comparison first bounds the overlap from above by bit counts of hashed bitmaps, and only then intersects the sorted
-arrays. So a group of copies costs about one comparison a member, and no link between different components is lost.
+What leaves a block is a forest, never its pairs. No link between different components is lost.
 
 Cases: null and empty texts have empty sets and link with nothing; a text with fewer words than n is one n-gram;
 repeated rows and equal texts are one set (equal doc_ids are one document); null doc_ids are kept and link with
@@ -29,18 +32,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..plans.staging import stage
+from ..plans.staging import stage, unstage
 from . import textkit as K
 
 N, SIMILAR = 5, 80  # words in an n-gram; per cent
-BITS = 1024
-WORDS = [f"b{i}" for i in range(BITS // 64)]
+BITS = 512
 #: Sizes of a band: 4**band and up. Sets of size s may link with sizes up to s * 100 / SIMILAR.
 BAND = 4
 #: Common n-grams: in so many texts of one task, in so many of all; no more than these are kept, which bounds the broadcast.
 LOCAL, COMMON, MOST_COMMON = 3, 16, 1 << 17
-#: Rows of a tile compared as a block in step 2; sets whose arrays meet in one place; tiles of a set by which a pair is told apart.
-BLOCK, CROWD, FEW = 512, 1000, 16
+#: A set's entries above its shortest prefix, as a share of it, of which as many must be shared.
+MORE = 20
+#: Sets, and n-grams of them, of a block of a group.
+CROWD, CROWD_GRAMS = 1000, 500_000
 
 
 def shingle_sets(column: pa.Array, n: int = N) -> Iterator[np.ndarray]:
@@ -73,52 +77,29 @@ def _set_key(s: np.ndarray) -> int:
         return int(K.mix(np.array([x], K.U64)).view(np.int64)[0])
 
 
-def _bitmap(s: np.ndarray) -> np.ndarray:
-    """The members' hashes as bits of BITS / 64 words."""
-    bits = np.zeros(BITS, bool)
-    bits[(s >> K.U64(40)).astype(np.int64) % BITS] = True
-    return np.packbits(bits).view(np.int64)
+def least_shared(n: int) -> int:
+    """Members that a set of n shares with one that it links with."""
+    return -(-n * SIMILAR // 100)
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Exact, on sorted distinct arrays."""
-    if len(a) > len(b):
-        a, b = b, a
-    if 100 * len(a) < SIMILAR * len(b):
-        return False
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    both = int((b[at] == a).sum())
-    return 100 * both >= SIMILAR * (len(a) + len(b) - both)
+def spare(n: int) -> int:
+    return max(1, n // MORE)
 
 
-def prefix_length(n: int) -> int:
-    """Members of which a similar set shares at least one: all but ceil(n * SIMILAR / 100) - 1."""
-    return n - -(-n * SIMILAR // 100) + 1
-
-
-def _bands(n: int) -> list[int]:
+def bands(n: int) -> list[int]:
     """The band of a size, and the next one if a similar set can be in it."""
-    band = 0
-    while BAND ** (band + 1) <= n:
-        band += 1
+    band = (n.bit_length() - 1) // 2
     return [band, band + 1] if n * 100 >= SIMILAR * BAND ** (band + 1) else [band]
 
 
-FIRST = "kind int, a long, b long, c long, " + ", ".join(f"{w} long" for w in WORDS)
-
-
 def _sets_and_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: (doc_id, set, n, bitmap where the set is new here) of each text; kind 1: (n-gram, -, texts) of those in LOCAL different sets here."""
+    """kind 0: (doc_id, set, n) of each text; kind 1: (n-gram, -, texts) of those in LOCAL different sets here."""
     seen: set[int] = set()
     held: list[np.ndarray] = []
     total = 0
 
-    def batch(kind, a, b, c, bits=None):
-        bits = np.zeros((len(b), len(WORDS)), np.int64) if bits is None else bits
-        new = np.any(bits != 0, 1)
-        words = [pa.array(np.ascontiguousarray(bits[:, i]), mask=~new) for i in range(len(WORDS))]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), *words], ["kind", "a", "b", "c", *WORDS])
+    def batch(kind, a, b, c):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], ["kind", "a", "b", "c"])
 
     def common():
         found, n = np.unique(np.concatenate(held), return_counts=True)
@@ -126,56 +107,60 @@ def _sets_and_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         return batch(1, found[keep].view(np.int64), np.zeros(int(keep.sum()), np.int64), n[keep])
 
     for b in batches:
-        keys, sizes, bits = [], [], np.zeros((len(b), len(WORDS)), np.int64)
-        for i, s in enumerate(shingle_sets(b.column(1))):
+        keys, sizes = [], []
+        for s in shingle_sets(b.column(1)):
             keys.append(_set_key(s))
             sizes.append(len(s))
-            if keys[-1] not in seen and len(s):
+            if len(s) and keys[-1] not in seen:
                 seen.add(keys[-1])
-                bits[i] = _bitmap(s)
                 held.append(s)
                 total += len(s)
             if total >= 4_000_000:
                 yield common()
                 held, total, seen = [], 0, set()
-        yield batch(0, b.column(0).cast(pa.int64()), np.array(keys, np.int64), np.array(sizes, np.int64), bits)
+        yield batch(0, b.column(0).cast(pa.int64()), np.array(keys, np.int64), np.array(sizes, np.int64))
     if held:
         yield common()
 
 
-def _prefixes(told):
-    """Entries (gram, band, set, n) of each different set's prefix; ``told``: common n-grams, sorted, and their counts."""
+def _fresh(column: pa.Array, seen: set[int], wanted=None) -> Iterator[tuple[int, np.ndarray]]:
+    """Name and members of each set that is not empty and not in ``seen``, which forgets all at a million."""
+    for s in shingle_sets(column):
+        if len(s) and (key := _set_key(s)) not in seen and (wanted is None or wanted(key)):
+            if len(seen) >= 1_000_000:
+                seen.clear()
+            seen.add(key)
+            yield key, s
+
+
+def _entries(told):
+    """(key, set, n) of the longer prefix of each different set, by band; n is negative in the next band. ``told``: common n-grams, sorted, and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, often = told.value
         seen: set[int] = set()
         for b in batches:
-            grams, rows = [np.zeros(0, K.U64)], []
-            for s in shingle_sets(b.column(1)):
-                if not len(s) or (key := _set_key(s)) in seen:
-                    continue
-                if len(seen) >= 1_000_000:
-                    seen.clear()
-                seen.add(key)
-                n, k = len(s), prefix_length(len(s))
+            keys, rows = [np.zeros(0, K.U64)], []
+            for key, s in _fresh(b.column(1), seen):
+                n = len(s)
+                k = n - least_shared(n) + spare(n)
                 if len(common):
                     at = np.searchsorted(common, s)
                     at[at == len(common)] = 0
                     hot = common[at] == s
                     if hot.any():
                         s = s[np.lexsort((s, np.where(hot, often[at], 0)))]
-                for band in _bands(n):
-                    grams.append(s[:k])
-                    rows.append((key, n, band, k))
-            key, n, band, k = np.array(rows, np.int64).reshape(-1, 4).T
-            columns = [np.concatenate(grams).view(np.int64), np.repeat(band, k).astype(np.int32), np.repeat(key, k), np.repeat(n, k).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "band", "set", "n"])
+                for i, band in enumerate(bands(n)):
+                    keys.append(K.mix(s[:k] + K.U64(band * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
+                    rows.append((key, n if i == 0 else -n, k))
+            key, n, k = np.array(rows, np.int64).reshape(-1, 3).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(key, k)), pa.array(np.repeat(n, k).astype(np.int32))], ["key", "set", "n"])
 
     return run
 
 
 def _wanted(spark: SparkSession, ids: DataFrame):
-    """A Bloom filter of the names in ``ids``: at most 2**21 words of 64 bits, or-ed on the executors. More names only make it let more pass."""
+    """A Bloom filter of the names in ``ids``: at most 2**21 words of 64 bits, or-ed on the executors. It only saves shuffling: with more names it lets more pass, which a join takes out."""
     words = 1 << int(np.clip(np.ceil(np.log2(max(1, ids.count()) / 4)), 10, 21))
     at = [F.col("set").bitwiseAND(F.lit(words * 64 - 1)), F.shiftrightunsigned("set", 32).bitwiseAND(F.lit(words * 64 - 1))]
     bits = ids.select(F.explode(F.array(*at)).alias("bit")).select(F.shiftright("bit", 6).alias("w"), F.col("bit").bitwiseAND(F.lit(63)).cast("int").alias("b"))
@@ -191,119 +176,208 @@ def _arrays(told):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = told.value, set()
         mask = len(bits) * 64 - 1
+        wanted = lambda key: all(int(bits[x >> 6]) >> (x & 63) & 1 for x in (key & mask, (key & (1 << 64) - 1) >> 32 & mask))
         for b in batches:
-            rows = []
-            for s in shingle_sets(b.column(0)):
-                if not len(s) or (key := _set_key(s)) in seen:
-                    continue
-                if all(int(bits[x >> 6]) >> (x & 63) & 1 for x in (key & mask, (key & (1 << 64) - 1) >> 32 & mask)):
-                    if len(seen) >= 1_000_000:
-                        seen.clear()
-                    seen.add(key)
-                    rows.append((key, s.tobytes()))
-            if rows:
+            if rows := list(_fresh(b.column(0), seen, wanted)):
                 keys, members = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(members, pa.binary())], ["set", "members"])
+                offsets = np.concatenate(([0], np.cumsum([len(s) for s in members]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(members).view(np.int64)))], ["set", "members"])
 
     return run
 
 
-def _may_link(x: str, y: str):
-    """Whether the sets of two rows can be similar: a bit that one bitmap alone has stands for a member that its set alone has."""
-    only = lambda a, b: sum((F.bit_count(F.col(f"{a}{w}").bitwiseAND(F.bitwise_not(F.col(f"{b}{w}")))) for w in WORDS), F.lit(0))
-    n1, n2 = F.col(f"{x}n"), F.col(f"{y}n")
-    overlap = F.least(n1 - only(x, y), n2 - only(y, x))
-    return F.lit(100) * overlap >= F.lit(SIMILAR) * (n1 + n2 - overlap)
-
-
-def _named(df: DataFrame, prefix: str) -> DataFrame:
-    return df.select([F.col(c).alias(prefix + c) for c in df.columns])
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(set, n, c) of rows (key, set, n) in the order of key and set: of how many keys another set has too. A run of a key is never held."""
+    tail = np.zeros((3, 0), np.int64)  # the last run so far: its last row, and the one before it if that has another set
 
+    def count(rows: np.ndarray, done: np.ndarray) -> pa.RecordBatch:
+        same = rows[0, 1:] == rows[0, :-1]  # rows are distinct: next to one of its key means another set
+        near = np.append(False, same) | np.append(same, False)
+        told, c = np.unique(rows[1:, near & done], axis=1, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(told[0]), pa.array(told[1]), pa.array(c)], ["set", "n", "c"])
 
-def _exact(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Links (a, b) that connect whatever the similar ones of ``pairs`` connect.
-
-    Pairs that hang together are dealt to one bucket, so that an array moves to few of them; what hangs together with
-    more than CROWD sets is dealt to buckets by blocks of both sides. The texts are read again for the arrays. Within a
-    bucket, pairs that are connected already are not compared.
+    for b in batches:
+        rows = np.concatenate((tail, np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(3)])), 1)
+        rows = rows[:, np.append(True, (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0))] if rows.shape[1] else rows
+        if rows.shape[1] < 2:
+            tail = rows
+            continue
+        done = np.ones(rows.shape[1], bool)
+        done[-1] = False  # told with the next batch
+        done[: max(0, tail.shape[1] - 1)] = False  # told before
+        yield count(rows, done)
+        tail = rows[:, -2:]
+    if tail.shape[1]:
+        yield count(tail, np.arange(tail.shape[1]) == tail.shape[1] - 1)
+
+
+def _candidates(docs: DataFrame, told, total: int) -> DataFrame:
+    """Names of the sets that share enough of their prefixes with others to link with one."""
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // 5_000_000)
+    entries = docs.mapInArrow(_entries(told), "key long, set long, n int").repartition(parts, "key").sortWithinPartitions("key", "set")
+    shared = entries.mapInArrow(_shared, "set long, n long, c long").groupBy("set", "n").agg(F.sum("c").alias("c"))
+    least = F.ceil(F.abs("n") * F.lit(SIMILAR) / F.lit(100))
+    return shared.where(F.col("c") >= F.greatest(F.lit(1), F.floor(least / F.lit(MORE)))).select("set").distinct()
+
+
+def _ranked(arrays: DataFrame) -> DataFrame:
+    """(set, n, grams): of sets that may still link, the n-grams that another one has, rarest first."""
+    sizes = arrays.select("set", F.size("members").alias("n"))
+    grams = arrays.select("set", F.explode("members").alias("gram"))
+    counts = grams.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1")
+    shared = grams.join(counts, "gram").groupBy("set").agg(F.sort_array(F.collect_list(F.struct("c", "gram"))).alias("g"))
+    out = shared.join(sizes, "set").where(F.size("g") * 100 >= F.col("n") * SIMILAR)
+    return out.select("set", "n", F.transform("g", lambda x: x["gram"]).alias("grams"))
+
+
+def _groups(ranked: DataFrame) -> DataFrame:
+    """(lead, set): the sets that share an n-gram of their prefixes, in one band, with the least set that has it; the lead too."""
+    rows = ranked.select("set", "n", "grams", F.expr("(length(bin(n)) - 1) div 2").cast("int").alias("band"))
+    next_ = F.col("n") * 100 >= F.expr("shiftleft(1L, 2 * (band + 1))") * SIMILAR
+    prefix = F.slice("grams", 1, F.size("grams") - F.ceil(F.col("n") * SIMILAR / F.lit(100)).cast("int") + 1)
+    rows = rows.select("set", F.explode(F.when(next_, F.array(F.col("band"), F.col("band") + 1)).otherwise(F.array("band"))).alias("band"), prefix.alias("prefix"))
+    entries = rows.select("set", F.explode("prefix").alias("gram"), "band")
+    tiles = entries.groupBy("gram", "band").agg(F.min("set").alias("lead"), F.max("set").alias("hi")).where("lead <> hi")
+    return entries.join(tiles, ["gram", "band"]).select("lead", "set").distinct()
+
+
+def _bitmaps(owner: np.ndarray, ids: np.ndarray, rows: int) -> np.ndarray:
+    """Members by hashed bits, BITS a row."""
+    bits = np.zeros((rows, BITS), bool)
+    bits[owner, (ids * 0x9E37 >> 3) % BITS] = True
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def connect(n: np.ndarray, offsets: np.ndarray, grams: np.ndarray, comp: np.ndarray, asks: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges between rows that, with the components given, connect whatever all similar pairs connect; with ``asks``, only pairs of which one row asks.
+
+    One row at a time is compared with all that are apart from it, until all rows outside of the largest component have
+    been (or all that ask). ``n``: sizes of the sets; ``grams``: those of their members that others have, row by row.
     """
-    spark = docs.sparkSession
-    hung = stage(connected_components(pairs))
-    near = lambda c: F.coalesce(F.col(f"{c}_root"), F.col(c))
-    named = pairs.join(hung.select(F.col("node").alias("a"), F.col("root").alias("a_root")), "a", "left").withColumn("crowd", near("a"))
-    sizes = hung.groupBy(F.col("root").alias("crowd")).agg(F.ceil((F.count("*") + 1) / CROWD).cast("long").alias("blocks"))
-    block = lambda c: F.when(F.col("blocks") > 1, F.pmod(F.xxhash64(c, F.lit(3)), F.col("blocks"))).otherwise(F.lit(0))
-    ids = stage(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct())
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ids.count() // 2000 + 1)
-    place = F.xxhash64("crowd", F.least(block("a"), block("b")), F.greatest(block("a"), block("b")))
-    dealt = stage(named.join(sizes, "crowd").select("a", "b", F.pmod(place, F.lit(buckets)).cast("int").alias("bucket")))
-    needs = dealt.select(F.col("bucket").alias("place"), F.col("a").alias("set")).union(dealt.select("bucket", "b")).distinct()
-    members = docs.select("text").mapInArrow(_arrays(_wanted(spark, ids)), "set long, members binary").hint("merge").join(needs, "set")
-
-    def run(pairs: pa.Table, arrays: pa.Table) -> pa.Table:
-        sets = {k: np.frombuffer(m.as_buffer(), K.U64) for k, m in zip(arrays.column("set").to_pylist(), arrays.column("members"), strict=True)}
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while (y := root.setdefault(x, x)) != x:
-                root[x] = x = root[y]
-            return x
-
-        out = []
-        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
-            x, y = find(a), find(b)
-            if x != y and similar(sets[a], sets[b]):
-                root[y] = x
-                out.append((a, b))
-        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
-
-    return stage(dealt.groupBy("bucket").cogroup(members.groupBy("place")).applyInArrow(run, "a long, b long"))
-
-
-def jaccard_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of ``docs(doc_id, text)``: components of documents that link."""
+    m, out = len(n), []
+    ids = np.unique(grams, return_inverse=True)[1]
+    size = np.diff(offsets)
+    owner = np.repeat(np.arange(m), size)
+    comp = np.unique(comp, return_inverse=True)[1]
+    done = np.zeros(m, bool) if asks is None else ~asks
+    bits = _bitmaps(owner, ids, m)
+    mark = np.zeros(int(ids.max()) + 1 if len(ids) else 1, bool)
+    r = 0 if asks is None else int(np.argmax(asks))
+    while True:
+        done[r] = True
+        most = np.minimum(size, size[r])
+        far = np.flatnonzero((comp != comp[r]) & (100 * most >= SIMILAR * (n + n[r] - most)))
+        if len(far):  # a bit that one bitmap alone has stands for a member that its set alone has
+            only = np.maximum(np.bitwise_count(bits[far] & ~bits[r]).sum(1).astype(np.int64) - size[far], np.bitwise_count(~bits[far] & bits[r]).sum(1).astype(np.int64) - size[r])
+            far = far[100 * -only >= SIMILAR * (n[far] + n[r] + only)]
+        if len(far):
+            mine = ids[offsets[r] : offsets[r + 1]]
+            mark[mine] = True
+            if 4 * len(far) > m:
+                both = np.add.reduceat(mark[ids], offsets[:-1], dtype=np.int64)[far]
+            else:
+                both = np.array([int(mark[ids[offsets[x] : offsets[x + 1]]].sum()) for x in far.tolist()])
+            mark[mine] = False
+            near = far[100 * both >= SIMILAR * (n[far] + n[r] - both)]
+            if len(near):
+                labels, first = np.unique(comp[near], return_index=True)
+                out += [(r, int(x)) for x in near[first]]
+                comp[np.isin(comp, labels)] = comp[r]
+        todo = ~done if asks is not None else ~done & (comp != np.bincount(comp).argmax())
+        r = int(np.argmax(todo))
+        if not todo[r]:
+            return out
+
+
+def _forests(t: pa.Table) -> pa.Table:
+    """(a, b): edges of the blocks in one bucket. Rows with ``ask`` 0 or 1, if there are any, have components from before."""
+    t = t.combine_chunks()
+    lead, block, ask = (t.column(c).to_numpy() for c in ("lead", "block", "ask"))
+    order = np.lexsort((ask, block, lead))
+    cut = np.flatnonzero(np.append(True, (np.diff(lead[order]) != 0) | (np.diff(block[order]) != 0))) if len(order) else []
+    edges: list[tuple[int, int]] = []
+    for rows in np.split(order, cut[1:]):
+        part = t.take(pa.array(rows))
+        sets, ask = part.column("set").to_numpy(), part.column("ask").to_numpy()
+        grams = part.column("grams").combine_chunks()
+        offsets = grams.offsets.to_numpy() - grams.offsets[0].as_py()
+        asks = None if ask.min() < 0 else ask == 1
+        if len(sets) > 1 and (asks is None or asks.any()):
+            # the lead comes first: it is the least name, but for those that ask
+            found = connect(part.column("n").to_numpy().astype(np.int64), offsets, grams.flatten().to_numpy(), part.column("comp").to_numpy(), asks)
+            edges += [(int(sets[a]), int(sets[b])) for a, b in found]
+    return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
+
+
+def _compared(dealt: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Edges (a, b) of ``dealt(lead, block, set, comp, ask)``; blocks are put into buckets of about CROWD_GRAMS n-grams."""
+    full = dealt.join(ranked, "set")
+    spark = dealt.sparkSession
+    weight = dealt.join(ranked.select("set", F.size("grams").alias("w")), "set").agg(F.sum("w")).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), weight // CROWD_GRAMS + 1)
+    full = full.withColumn("bucket", F.pmod(F.xxhash64("lead", "block"), F.lit(buckets)).cast("int"))
+    return stage(full.groupBy("bucket").applyInArrow(_forests, "a long, b long").where("a <> b"))
+
+
+def _apart(sizes: DataFrame, groups: DataFrame, ranked: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """Edges between components of groups of several blocks; None if there is nothing to compare."""
+    many = sizes.where("blocks > 1").select("lead")
+    rows = groups.join(many, "lead", "left_semi").join(roots, F.col("set") == F.col("node"), "left").select("lead", "set", F.coalesce("root", "set").alias("comp"))
+    by_comp = rows.groupBy("lead", "comp").agg(F.count("*").alias("m"))
+    big = by_comp.groupBy("lead").agg(F.max(F.struct("m", "comp")).alias("big"), F.count("*").alias("comps")).where("comps > 1").select("lead", F.col("big.comp").alias("big"))
+    rows = rows.join(big, "lead").join(ranked.select("set", F.size("grams").alias("w")), "set")
+    rows = stage(rows.withColumn("out", F.col("comp") != F.col("big")).drop("big"))
+    if not rows.take(1):
+        unstage(rows)
+        return None
+    blocks = lambda w: F.greatest(F.lit(1), F.ceil(F.count(w) / CROWD), F.ceil(F.sum(w) / CROWD_GRAMS)).cast("int")
+    cuts = rows.groupBy("lead").agg(blocks(F.when(F.col("out"), F.col("w"))).alias("p"), blocks(F.col("w")).alias("q"))
+    rows = rows.join(cuts, "lead")
+    place = F.xxhash64("set", F.lit(3))
+    mine, other = F.pmod(place, F.col("p")), F.pmod(place, F.col("q"))
+    ask = rows.where("out").select("lead", "set", "comp", F.explode(F.expr("sequence(0, q - 1)")).alias("j"), mine.alias("i"), "q", F.lit(1).alias("ask"))
+    told = rows.select("lead", "set", "comp", other.alias("j"), F.explode(F.expr("sequence(0, p - 1)")).alias("i"), "q", F.lit(0).alias("ask"))
+    both = ask.unionByName(told, allowMissingColumns=False).select("lead", (F.col("i").cast("long") * F.col("q") + F.col("j")).alias("block"), "set", "comp", "ask")
+    out = _compared(both, ranked)
+    unstage(rows)
+    return out
+
+
+def set_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, set, n_shingles) of each text, and (node, root) of the sets that are not the least of their component."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = stage(docs.mapInArrow(_sets_and_common, FIRST))
+    first = stage(docs.mapInArrow(_sets_and_common, "kind int, a long, b long, c long"))
     sets = first.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("set"), F.col("c").alias("n_shingles"))
     counts = first.where("kind = 1").groupBy("a").agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON)
     top = counts.orderBy(F.desc("c"), "a").limit(MOST_COMMON).toPandas()
     order = np.argsort(top["a"].to_numpy(np.int64).view(K.U64))
     told = spark.sparkContext.broadcast((top["a"].to_numpy(np.int64).view(K.U64)[order], top["c"].to_numpy(np.int64)[order]))
-
-    tile = Window.partitionBy("gram", "band")
-    entries = docs.mapInArrow(_prefixes(told), "gram long, band int, set long, n int")
-    tiles = entries.select("gram", "band", "set").withColumn("lo", F.min("set").over(tile)).withColumn("hi", F.max("set").over(tile))
-    # n-grams of one passage make tiles of the same members, which count as one tile: its name is made from its members
-    tiles = tiles.withColumn("tile", F.sum(F.xxhash64("set", F.lit(7)).bitwiseAND(F.lit((1 << 40) - 1))).over(tile)).where("lo <> hi")
-    tiles = stage(tiles.select("band", "tile", "lo", "set").distinct())
-    brief = first.where("kind = 0 and b0 is not null").select(F.col("b").alias("set"), F.col("c").alias("n"), *WORDS).dropDuplicates(["set"])
-    brief = stage(brief.join(tiles.select("set").distinct(), "set", "left_semi"))
-
-    # 1: each set against the least of its tile
-    pairs = tiles.where("set <> lo").select(F.col("lo").alias("a"), F.col("set").alias("b")).distinct()
-    pairs = pairs.join(_named(brief, "x_"), F.col("a") == F.col("x_set")).join(_named(brief, "y_"), F.col("b") == F.col("y_set")).where(_may_link("x_", "y_"))
-    links = _exact(docs, stage(pairs.select("a", "b")))
+    ids = stage(_candidates(docs, told, sets.agg(F.sum("n_shingles")).first()[0] or 0))
+    told.unpersist()
+    bloom = _wanted(spark, ids)
+    arrays = stage(docs.select("text").mapInArrow(_arrays(bloom), "set long, members array<long>").join(ids, "set", "left_semi").dropDuplicates(["set"]))
+    bloom.unpersist()
+    ranked = stage(_ranked(arrays))
+    unstage(arrays, ids)
+    groups = stage(_groups(ranked))
+    sized = groups.join(ranked.select("set", F.size("grams").alias("w")), "set").groupBy("lead").agg(F.count("*").alias("m"), F.sum("w").alias("w"))
+    sizes = stage(sized.select("lead", F.greatest(F.ceil(F.col("m") / CROWD), F.ceil(F.col("w") / CROWD_GRAMS)).cast("long").alias("blocks")))
+    block = F.when(F.col("lead") == F.col("set"), F.expr("sequence(0L, blocks - 1L)")).otherwise(F.array(F.pmod(F.xxhash64("set", F.lit(3)), F.col("blocks"))))
+    dealt = groups.join(sizes, "lead").select("lead", F.explode(block).alias("block"), "set", F.col("set").alias("comp"), F.lit(-1).alias("ask"))
+    links = _compared(dealt, ranked)
     roots = stage(connected_components(links))
+    if sizes.where("blocks > 1").take(1) and (more := _apart(sizes, groups, ranked, roots)) is not None:
+        all_ = stage(connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
+        unstage(more, roots)
+        roots = all_
+    unstage(ranked, groups, sizes, links)
+    return sets, roots
 
-    # 2: members of a tile, but for its least, that are still apart
-    tile = Window.partitionBy("band", "tile")
-    apart = tiles.where("set <> lo").join(roots, tiles["set"] == roots["node"], "left").select("band", "tile", "set", F.coalesce("root", "set").alias("comp")).distinct()
-    apart = apart.withColumn("c1", F.min("comp").over(tile)).withColumn("c2", F.max("comp").over(tile)).withColumn("m", F.count("*").over(tile)).where("c1 <> c2")
-    few = apart.groupBy("set").agg(F.slice(F.sort_array(F.collect_list("tile")), 1, FEW).alias("few"))
-    apart = stage(apart.join(few, "set").join(brief, "set").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).drop("c1", "c2", "m"))
-    x = _named(apart.withColumn("block", F.pmod("set", "blocks")), "x_")
-    y = _named(apart.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "y_")
-    same = (F.col("x_tile") == F.col("y_tile")) & (F.col("x_band") == F.col("y_band")) & (F.col("x_block") == F.col("y_block"))
-    # a pair that meets in several tiles counts in the first of those that both sets name, if they name any
-    once = F.coalesce(F.array_min(F.array_intersect("x_few", "y_few")), F.col("x_tile")) == F.col("x_tile")
-    more = x.join(y, same & (F.col("x_set") < F.col("y_set")) & (F.col("x_comp") != F.col("y_comp")) & _may_link("x_", "y_") & once)
-    more = stage(more.select(F.col("x_set").alias("a"), F.col("y_set").alias("b")).distinct())
-    if more.take(1):
-        again = _exact(docs, more)
-        if again.take(1):
-            roots = stage(connected_components(links.union(again)))
 
+def jaccard_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of ``docs(doc_id, text)``: components of documents that link."""
+    sets, roots = set_links(docs)
     known = sets.join(roots, sets["set"] == roots["node"], "left").select("doc_id", "n_shingles", F.coalesce("root", "set").alias("comp"))
     least = known.where("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
     out = known.join(least, "comp", "left")
@@ -313,9 +387,12 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
 def one_of_each_class(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents that link, directly or not, to one of a smaller doc_id. Rows of one doc_id are one document, of which the row of the least text stays; null doc_ids stay."""
     gone = jaccard_classes(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    return kept.withColumn("_nth", F.row_number().over(first)).where("_nth = 1 or doc_id is null").drop("_nth")
+    known = docs.where("doc_id is not null")
+    twice = known.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_twice"))
+    kept = known.join(gone, known["doc_id"].cast("long") == F.col("_gone"), "left_anti").join(twice, known["doc_id"] == F.col("_twice"), "left")
+    first = Window.partitionBy("doc_id").orderBy(F.asc_nulls_first("text"))
+    many = kept.where("_twice is not null").withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
+    return kept.where("_twice is null").select(*docs.columns).union(many.select(*docs.columns)).union(docs.where("doc_id is null"))
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

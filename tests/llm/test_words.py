@@ -60,9 +60,9 @@ def test_jaccard(docs, rows, monkeypatch, common):
     assert got == want and any(d != c for d, (_, c) in want.items())
 
 
-def test_jaccard_links_within_tiles_in_small_blocks(spark, monkeypatch):
-    """Sets that are all far from the tile's least, and near to each other."""
-    monkeypatch.setattr(shingles, "BLOCK", 2)
+def test_jaccard_links_within_groups_of_several_blocks(spark, monkeypatch):
+    """Sets that are all far from the group's least, and near to each other."""
+    monkeypatch.setattr(shingles, "CROWD", 2)
     base = [f"w{i}" for i in range(100)]
     texts = [" ".join(base[:60] + [f"x{k}{i}" for i in range(40)]) for k in range(4)]
     texts += [" ".join(base[:60] + [f"x{k}{i}" for i in range(38)] + ["end", f"e{k}"]) for k in range(4)]
@@ -71,6 +71,66 @@ def test_jaccard_links_within_tiles_in_small_blocks(spark, monkeypatch):
     assert got == {i: i % 4 for i in range(8)}
 
 
+@pytest.mark.parametrize("crowd", [1000, 7])
+def test_jaccard_of_one_cluster_about_the_threshold(spark, monkeypatch, crowd):
+    """Copies of one text with so many changes that some link and some do not."""
+    monkeypatch.setattr(shingles, "CROWD", crowd)
+    rng = np.random.default_rng(7)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for k in range(90):
+        w = list(base)
+        for at in rng.integers(0, len(w), rng.integers(1, 7)):
+            w[at] = f"x{k}y{at}"
+        rows.append((1000 - k, " ".join(w)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in shingles.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    from collections import namedtuple
+
+    want = plain_classes([namedtuple("R", "doc_id text")(*r) for r in rows])
+    assert got == want and 1 < len({c for _, c in want.values()}) < 90
+
+
+def test_connect_against_all_pairs():
+    rng = np.random.default_rng(3)
+    for trial in range(40):
+        m, pool = int(rng.integers(2, 40)), int(rng.integers(20, 60))
+        sets = [np.unique(rng.choice(pool, int(rng.integers(pool // 2, pool)))) for _ in range(m)]
+        own = rng.integers(0, 8, m)  # members that no other set has
+        n, offsets = np.array([len(s) for s in sets]) + own, np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+        asks = rng.random(m) < 0.4 if trial % 2 else None
+        if asks is not None and not asks.any():
+            continue
+
+        def classes(edges):
+            root = list(range(m))
+            for _ in range(m):
+                for a, b in edges:
+                    root[a] = root[b] = min(root[a], root[b])
+            return root
+
+        both = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+        want = [(a, b) for a in range(m) for b in range(a) if (asks is None or asks[a] or asks[b]) and 100 * both(a, b) >= 80 * (n[a] + n[b] - both(a, b))]
+        got = shingles.connect(n, offsets, np.concatenate(sets), np.arange(m), asks)
+        assert classes(got) == classes(want) and len(got) <= m
+
+
+def test_sieve_keeps_runs_across_batches():
+    rng = np.random.default_rng(5)
+    rows = sorted(zip(rng.integers(0, 30, 300).tolist(), rng.integers(0, 9, 300).tolist(), strict=True))
+    size = {s: 10 + s for s in range(9)}
+    tiles: dict[int, set] = {}
+    for k, s in rows:
+        tiles.setdefault(k, set()).add(s)
+    want = Counter(s for sets in tiles.values() if len(sets) > 1 for s in sets)
+    for step in (1, 2, 7, 300):
+        got = Counter()
+        batches = [pa.RecordBatch.from_pydict({"key": [k for k, _ in part], "set": [s for _, s in part], "n": [size[s] for _, s in part]}) for part in (rows[i : i + step] for i in range(0, 300, step))]
+        for b in shingles._shared(iter(batches)):
+            for s, n, c in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                assert n == size[s]
+                got[s] += c
+        assert got == want
+
+
 def test_one_of_each_class(docs, rows, empty):
     kept = shingles.one_of_each_class(docs)
     assert kept.columns == docs.columns
