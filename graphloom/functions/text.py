@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 #: White space as Python's ``str`` has it.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def normal_form(label: str) -> str:
@@ -34,7 +35,7 @@ def normalize_label(label: Column) -> Column:
 
 
 def strip(value: Column) -> Column:
-    return F.regexp_replace(value, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(value, F.lit(WHITE))
 
 
 def trigrams(label: Column) -> Column:

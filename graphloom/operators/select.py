@@ -11,6 +11,14 @@ from ..functions.text import normalize_label
 from ..sources.ntriples import RDFS_LABEL
 
 
+def _http_iri(token: str) -> str:
+    """The HTTP IRI of a pattern's token, which may stand between angle brackets."""
+    uri = token.removeprefix("<").removesuffix(">") if token[:1] + token[-1:] == "<>" else token
+    if not uri.startswith(("http://", "https://")) or not {"<", ">"}.isdisjoint(uri):
+        raise ValueError(f"not an HTTP IRI: {token!r}")
+    return uri
+
+
 @dataclass(frozen=True)
 class TriplePattern:
     """``s P ?``, ``s P URI``, ``? P o`` or ``URI P o``: the resource at ``s`` or ``o`` is selected."""
@@ -28,10 +36,8 @@ class TriplePattern:
         if (s == "s") == (o == "o") or s == "o" or o == "s":
             raise ValueError(f"a pattern selects either its subject s or its object o: {text!r}")
         selects, other = ("s", o) if s == "s" else ("o", s)
-        for uri in (p, *([] if other == "?" else [other])):
-            if not uri.lower().startswith(("http://", "https://")) or "<" in uri or ">" in uri:
-                raise ValueError(f"not an HTTP IRI: {uri!r}")
-        return TriplePattern(selects, p, None if other == "?" else other)
+        fixed = None if other == "?" else _http_iri(other)
+        return TriplePattern(selects, _http_iri(p), fixed)
 
     def condition(self) -> Column:
         out = F.col("p") == self.predicate

@@ -2,52 +2,35 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.text import SPACE
+from ..functions.text import WHITE, SPACE, strip
 
 RDFS_LABEL = "http://www.w3.org/2000/01/rdf-schema#label"
-#: First ``"> "`` ends an IRI, and there is no way back; the object is what stands before the last full stop.
-STRICT = rf"(?s)^{SPACE}*+(?><(.*?)> ){SPACE}*+(?><(.*?)> ){SPACE}*+(.*?){SPACE}*\.{SPACE}*$"
 LENIENT = rf"(?s)^<([^>]*)>{SPACE}*+(<[^>]*>){SPACE}*+(.*)$"
 LENIENT_OBJECT = r"(?s)^<([^>]*)>(.*)$"
+#: N-Triples' escapes of one character, and the apostrophe; another escaped character stands for itself.
 ESCAPES = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
+_STRING = re.compile(r'"((?:[^"\\]++|\\(?:u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|[^uU]))*+)"', re.DOTALL)
+_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|(.))", re.DOTALL)
+_SURROGATE = re.compile("[\ud800-\udfff]")
 
 
 def decode_literal(token: str) -> str | None:
-    """The text of a literal token up to the first quote that isn't escaped; None where it is malformed or no text."""
-    if not token.startswith('"'):
+    """The text of the quoted string at the start of a token; None where there is none, or an escape in it names no character."""
+    string = _STRING.match(token)
+    if string is None:
+        return None
+    try:
+        text = _ESCAPE.sub(lambda e: ESCAPES.get(e[3], e[3]) if e[3] else chr(int(e[1] or e[2], 16)), string[1])
+    except (ValueError, OverflowError):  # beyond the last code point
         return None
-    out, i = [], 1
-    while i < len(token):
-        c = token[i]
-        if c == '"':
-            text = "".join(out)
-            return None if any("\ud800" <= x <= "\udfff" for x in text) else text
-        if c != "\\":
-            out.append(c)
-            i += 1
-            continue
-        if i + 1 >= len(token):
-            return None
-        e = token[i + 1]
-        if e in "uU":
-            digits = token[i + 2 : i + (6 if e == "u" else 10)]
-            if len(digits) != (4 if e == "u" else 8):
-                return None
-            try:
-                code = int(digits, 16)
-                out.append(chr(code))
-            except (ValueError, OverflowError):
-                return None
-            i += 2 + len(digits)
-        else:
-            out.append(ESCAPES.get(e, e))
-            i += 2
-    return None
+    return None if _SURROGATE.search(text) else text
 
 
 @F.pandas_udf(StringType())
@@ -58,13 +41,14 @@ def _decode(tokens: pd.Series) -> pd.Series:
 def literal(token: Column) -> Column:
     """Text of a literal token; only those with a backslash go through Python."""
     escaped = F.contains(token, F.lit("\\"))
-    plain = F.regexp_extract(token, r'(?s)^"([^"]*)"', 1)
-    return F.when(~token.startswith('"'), F.lit(None)).when(escaped, _decode(F.when(escaped, token))).when(token.rlike(r'(?s)^"[^"]*"'), plain)
+    close = F.locate('"', token, 2)
+    plain = F.substring(token, F.lit(2), close - 2)
+    return F.when(~token.startswith('"'), F.lit(None)).when(escaped, _decode(F.when(escaped, token))).when(close > 0, plain)
 
 
 def iri(token: Column) -> Column:
-    inner = F.regexp_extract(token, rf"(?s)^{SPACE}*<(.*)>{SPACE}*$", 1)
-    return F.when(token.rlike(rf"(?s)^{SPACE}*<.*>{SPACE}*$"), inner)
+    """The IRI of a ``<...>`` token."""
+    return F.when(token.startswith("<") & token.endswith(">"), F.substring(token, F.lit(2), F.char_length(token) - 2))
 
 
 def read_lines(spark: SparkSession, path: str | list[str], newlines: str | None = "\n") -> DataFrame:
@@ -73,10 +57,26 @@ def read_lines(spark: SparkSession, path: str | list[str], newlines: str | None
     return reader.text(path).select(F.make_valid_utf8(F.col("value")).alias("value"))
 
 
+def _term(rest: str, name: str, *others: str) -> tuple[list[Column], Column]:
+    """Columns with the IRI at the start of ``rest``, up to the first ``"> "``, and what follows it; and whether there is one."""
+    end = F.instr(rest, "> ")
+    columns = [*map(F.col, others), F.substring(F.col(rest), F.lit(2), end - 2).alias(name), F.ltrim(F.substring(F.col(rest), end + 2, F.char_length(rest)), F.lit(WHITE)).alias(f"after_{name}")]
+    return columns, F.col(rest).startswith("<") & (end > 1)
+
+
 def parse_triples(lines: DataFrame, column: str = "value") -> DataFrame:
-    """``(s, p, o_raw, o_iri, o_lex, o_lang, o_dt)`` of the lines that are triples with IRIs for subject and predicate."""
-    part = lambda k: F.regexp_extract(column, STRICT, k)
-    rows = lines.where(F.col(column).rlike(STRICT)).select(part(1).alias("s"), part(2).alias("p"), part(3).alias("o_raw")).where("o_raw <> ''")
+    """``(s, p, o_raw, o_iri, o_lex, o_lang, o_dt)`` of the lines that are triples with IRIs for subject and predicate.
+
+    The first ``"> "`` ends an IRI; the object is what stands before the full stop at the end. Each column is cut from
+    the one before it by string functions, so a line is read a few times, whatever its length.
+    """
+    rows = lines.select(strip(F.col(column)).alias("line"))
+    rows = rows.where(F.col("line").startswith("<") & F.col("line").endswith("."))
+    rows = rows.select(F.rtrim(F.substring(F.col("line"), F.lit(1), F.char_length("line") - 1), F.lit(WHITE)).alias("rest"))
+    columns, good = _term("rest", "s")
+    rows = rows.where(good).select(columns)
+    columns, good = _term("after_s", "p", "s")
+    rows = rows.where(good).select(columns).select("s", "p", F.col("after_p").alias("o_raw")).where("o_raw <> ''")
     tail = F.regexp_extract("o_raw", r'(?s)^"(?:[^"\\]|\\.)*+"(.*)$', 1)
     none = lambda c: F.when(c != "", c)
     return rows.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, file_name, iri_term, pair_id, score_text, strip
@@ -51,29 +51,41 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("position", "left_iri", "right_iri", "score", place("left_file"), place("right_file"), pair_id(F.col("position"), F.col("left_iri"), F.col("right_iri")).alias("pair_id"))
 
 
+def _inner(token) -> Column:
+    """What a ``<...>`` token holds; null for another one or if that is nothing."""
+    return F.when(token.startswith("<") & token.endswith(">") & (F.char_length(token) > 2), F.substring(token, F.lit(2), F.char_length(token) - 2))
+
+
 def parse_links_strict(lines: DataFrame, column: str = "value") -> DataFrame:
     """(left, right, score) of three fields between white space; comments and blank lines are skipped, all else is an error."""
-    text = strip(F.col(column))
-    fields = F.split(text, f"{SPACE}+")
-    term = lambda k: F.regexp_extract(F.get(fields, F.lit(k)), r"(?s)^<(.+)>$", 1)
-    score = F.get(fields, F.lit(2))
-    good = (F.size(fields) == 3) & (term(0) != "") & (term(1) != "") & score.rlike(FLOAT)
-    checked = F.when(good, score).otherwise(F.raise_error(F.concat(F.lit("malformed link: "), text)))
-    return lines.where((text != "") & ~text.startswith("#")).select(term(0).alias("left"), term(1).alias("right"), checked.cast("double").alias("score"))
+    rows = lines.select(strip(F.col(column)).alias("line")).where((F.col("line") != "") & ~F.col("line").startswith("#"))
+    rows = rows.select("line", F.split("line", f"{SPACE}+").alias("fields"))
+    field = lambda k: F.get("fields", F.lit(k))
+    rows = rows.select("line", F.size("fields").alias("n"), _inner(field(0)).alias("left"), _inner(field(1)).alias("right"), field(2).alias("score"))
+    good = (F.col("n") == 3) & F.col("left").isNotNull() & F.col("right").isNotNull() & F.col("score").rlike(FLOAT)
+    checked = F.when(good, F.col("score")).otherwise(F.raise_error(F.concat(F.lit("malformed link: "), "line")))
+    return rows.select("left", "right", checked.cast("double").alias("score"))
 
 
 def parse_links_lenient(lines: DataFrame, column: str = "value") -> DataFrame:
-    """(left, right, score) of tab-separated links and of ``owl:sameAs`` triples (score 1); malformed lines are dropped. Three tab-separated fields are never a triple."""
-    text = strip(F.col(column))
-    fields = F.split(text, "\t")
-    tabs = F.size(fields) >= 3
-    term = lambda k: F.regexp_extract(strip(F.get(fields, F.lit(k))), r"(?s)^<(.+)>$", 1)
-    score = strip(F.get(fields, F.lit(2)))
-    same = lambda k: F.regexp_extract(text, rf"(?s)^<([^>]+)>{SPACE}+<{SAME_AS}>{SPACE}+<([^>]+)>{SPACE}*\.", k)
-    left = F.when(tabs, term(0)).otherwise(same(1))
-    right = F.when(tabs, term(1)).otherwise(same(2))
-    value = F.when(tabs, F.when(score.rlike(FLOAT), score.try_cast("double"))).otherwise(F.lit(1.0))
-    return lines.select(left.alias("left"), right.alias("right"), value.alias("score")).where("left <> '' and right <> '' and score is not null")
+    """(left, right, score) of tab-separated links and of ``owl:sameAs`` triples or quads (score 1); malformed lines are dropped.
+
+    Three tab-separated fields are never a triple. A triple has at least four fields between white space: the full stop
+    stands apart, and what follows the object, as a graph's name, is not read.
+    """
+    rows = lines.select(strip(F.col(column)).alias("line"))
+    rows = rows.select(F.split("line", "\t").alias("tabs"), "line")
+    link = F.size("tabs") >= 3
+    rows = rows.select(link.alias("link"), F.when(link, F.col("tabs")).otherwise(F.split("line", f"{SPACE}+")).alias("fields"))
+    field = lambda k: F.get("fields", F.lit(k))
+    same = (F.size("fields") >= 4) & (field(1) == f"<{SAME_AS}>")
+    left = F.when(F.col("link"), _inner(strip(field(0)))).when(same, _inner(field(0)))
+    right = F.when(F.col("link"), _inner(strip(field(1)))).when(same, _inner(field(2)))
+    score = F.when(F.col("link"), strip(field(2))).otherwise(F.lit("1"))
+    rows = rows.select(left.alias("left"), right.alias("right"), score.alias("score"))
+    rows = rows.select("left", "right", F.when(F.col("score").rlike(FLOAT), F.col("score").try_cast("double")).alias("score"))
+    # one row or none of each line, made by a generator: a filter would be computed again below every step
+    return rows.select(F.inline(F.when(F.col("left").isNotNull() & F.col("right").isNotNull() & F.col("score").isNotNull(), F.array(F.struct("left", "right", "score")))))
 
 
 def read_links(spark: SparkSession, path: str | list[str], strict: bool = False) -> DataFrame:

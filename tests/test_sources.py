@@ -30,7 +30,7 @@ def test_strict_triples(spark):
     assert [(r["o_lex"], r["o_lang"], r["o_dt"], r["o_iri"]) for r in rows] == [("Hi", "en", None, None), ("a\tbé", None, None, None), ("1", None, "http://t", None), (None, None, None, None), (None, None, None, "http://x/o")]
 
 
-@pytest.mark.parametrize(("token", "want"), [('"a"@en', "a"), ('"a', None), ('"a\\"b"', 'a"b'), ('"\\q"', "q"), ('"\\u12"', None), ('"\\uD83D"', None), ('"\\U0001F600"', "😀"), ("<x>", None), ('"\\', None), ('""', "")])
+@pytest.mark.parametrize(("token", "want"), [('"a"@en', "a"), ('"a', None), ('"a\\"b"', 'a"b'), ('"\\q"', "q"), ('"\\u12"', None), ('"\\uD83D"', None), ('"\\U0001F600"', "😀"), ("<x>", None), ('"\\', None), ('"\\U00110000"', None), ('"\\u00zz"', None), ('"a\nb\\n"^^<http://t>', "a\nb\n"), ('""', "")])
 def test_literals(spark, token, want):
     assert N.decode_literal(token) == want
     assert lines(spark, token).select(N.literal(F.col("value"))).first()[0] == want
@@ -62,7 +62,9 @@ def test_invalid_utf8(spark, tmp_path):
 def test_patterns():
     assert TriplePattern.parse("s http://p ?") == TriplePattern("s", "http://p", None)
     assert TriplePattern.parse("http://u http://p o") == TriplePattern("o", "http://p", "http://u")
-    for bad in ("s http://p o", "s http://p s", "o http://p o", "? http://p ?", "http://u http://p http://u", "s ? ?", "s http://p", "s ftp://p ?", "s http://p <http://u>"):
+    assert TriplePattern.parse("s <http://p> ?") == TriplePattern("s", "http://p", None)
+    assert TriplePattern.parse("<http://u> <http://p> o") == TriplePattern("o", "http://p", "http://u")
+    for bad in ("s http://p o", "s http://p s", "o http://p o", "? http://p ?", "http://u http://p http://u", "s ? ?", "s http://p", "s ftp://p ?", "s HTTP://p ?", "s http://p <http://u", "s <<http://p>> ?"):
         with pytest.raises(ValueError):
             TriplePattern.parse(bad)
 
@@ -79,8 +81,9 @@ def test_selection(spark):
 
 def test_lenient_links(spark):
     same = f"<d> <{tables.SAME_AS}> <e> ."
-    rows = tables.parse_links_lenient(lines(spark, "<a>\t<b>\t0.7", "<c>\t<d>\tnan", "<a>\tb\t0.9", "<a>\t<>\t0.9", "<a>\t<b>\tx", "<a>\t<b>\t1d", same, same.replace(" ", "\t"), "", "# no")).collect()
-    assert [(r["left"], r["right"], str(r["score"])) for r in rows] == [("a", "b", "0.7"), ("c", "d", "nan"), ("d", "e", "1.0")]
+    rows = tables.parse_links_lenient(lines(spark, "<a>\t<b>\t0.7", "<c>\t<d>\tnan", "<a>\tb\t0.9", "<a>\t<>\t0.9", "<a>\t<b>\tx", "<a>\t<b>\t1d", same, same.replace(" ", "\t"), "", "# no",
+        f"<f> <{tables.SAME_AS}> <g> <http://graph> .", f"<h> <{tables.SAME_AS}> <i>.", f"<h> <{tables.SAME_AS}> i .", f"<h> <other> <i> .", f" <j>  <{tables.SAME_AS}>   <k> . ", " <a> \t <l>\t 0.5 ", "<a>\t<b>\t0.5\tmore")).collect()
+    assert [(r["left"], r["right"], str(r["score"])) for r in rows] == [("a", "b", "0.7"), ("c", "d", "nan"), ("d", "e", "1.0"), ("f", "g", "1.0"), ("j", "k", "1.0"), ("a", "l", "0.5"), ("a", "b", "0.5")]
 
 
 def test_strict_links(spark):
