@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.staging import stage
 
 
 @dataclass(frozen=True)
@@ -66,23 +67,32 @@ def _open(stats: DataFrame, s: Settings) -> DataFrame:
     return stats.where((F.col("nl") > 0) & (F.col("nr") > 0) & (F.col("nl") * F.col("nr") <= s.max_comparisons_per_block))
 
 
-def _block_pairs(counts: DataFrame, s: Settings, by: tuple[str, ...]) -> DataFrame:
-    """Label pairs of every block under the cap, once a block, with lengths that allow a match."""
+def profiles(counts: DataFrame, s: Settings, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., label, nl, nr, keys, grams), once a label: its blocks under the cap as sorted hashes, and its trigrams as hashes."""
     rows = blocks(counts, s, by)
     key = [*by, "bucket", "gram"]
     rows = rows.join(_open(block_stats(rows, by), s).select(*key), key, "left_semi")
-    left = rows.where("nl > 0").select(*key, F.col("label").alias("x"), F.col("nl").alias("n1"))
-    right = rows.where("nr > 0").select(*key, F.col("label").alias("y"), F.col("nr").alias("n2"))
-    return left.join(right, key).where(T.length_possible(F.col("x"), F.col("y"), s.threshold))
+    found = rows.groupBy(*by, "label").agg(F.first("nl").alias("nl"), F.first("nr").alias("nr"), F.sort_array(F.collect_list(F.xxhash64("bucket", "gram"))).alias("keys"))
+    return found.withColumn("grams", F.transform(T.trigrams(F.col("label")), lambda g: F.xxhash64(g)))
 
 
-def _dice(df: DataFrame, s: Settings) -> DataFrame:
-    return df.where(T.trigram_dice(T.trigrams(F.col("x")), T.trigrams(F.col("y"))) >= F.lit(s.trigram_threshold))
+def _pairs(labels: DataFrame, s: Settings, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., x, y, n) of ``profiles``: label pairs with lengths and trigrams that allow a match; n: entity pairs, once for each shared block.
+
+    A pair is made in the first of the blocks that both labels are in, so there are no pairs to tell apart, and the
+    conditions run in the join, cheapest first, on numbers that were made once a label.
+    """
+    cut = lambda side, n, x, k: labels.where(f"{side} > 0").select(*by, F.explode("keys").alias("key"), F.col("label").alias(x), F.col(side).alias(n), F.col("keys").alias(f"k{k}"), F.col("grams").alias(f"g{k}"))
+    shared = F.array_intersect("k1", "k2")
+    once = F.array_min(shared) == F.col("key")
+    near = T.trigram_dice(F.col("g1"), F.col("g2")) >= F.lit(s.trigram_threshold)
+    pairs = cut("nl", "n1", "x", 1).join(cut("nr", "n2", "y", 2), [*by, "key"]).where(T.length_possible(F.col("x"), F.col("y"), s.threshold) & once & near)
+    return pairs.select(*by, "x", "y", (F.col("n1") * F.col("n2") * F.size(shared)).alias("n"))
 
 
 def candidates(counts: DataFrame, s: Settings, by: tuple[str, ...] = ()) -> DataFrame:
     """Distinct (by..., x, y): label pairs that share a block, with lengths and trigrams that allow a match."""
-    return _dice(_block_pairs(counts, s, by).select(*by, "x", "y").distinct(), s)
+    return _pairs(stage(profiles(counts, s, by)), s, by).drop("n")
 
 
 def label_matches(counts: DataFrame, s: Settings, by: tuple[str, ...] = ()) -> DataFrame:
@@ -108,21 +118,21 @@ def align(left: DataFrame, right: DataFrame, settings: Settings = Settings(), by
 
     ``left`` and ``right``: (by..., uri, label) with normalised labels. A pair is found if any of its blocks is under the cap.
     """
-    both = sides(left, right, by)
+    both = stage(sides(left, right, by))
     exact = exact_pairs(both, settings.max_comparisons_per_block, by)
     return best_scores(exact.unionByName(fuzzy_pairs(both, settings, by)), by)
 
 
 def align_metrics(left: DataFrame, right: DataFrame, s: Settings = Settings(), by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., stage, blocks, comparisons, scored, matches): one-sided blocks count as blocks; blocks above the cap count all their pairs as comparisons; a pair counts in each of its blocks."""
-    counts = label_counts(sides(left, right, by), by)
+    counts = stage(label_counts(sides(left, right, by), by))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     product = F.col("nl").cast("long") * F.col("nr")
     under = F.when(product <= s.max_comparisons_per_block, product).otherwise(F.lit(0))
     exact = counts.groupBy(*by).agg(F.count("*").alias("blocks"), total(product).alias("comparisons"), F.lit(0).cast("long").alias("scored"), total(under).alias("matches")).withColumn("stage", F.lit("exact"))
     stats = block_stats(blocks(counts, s, by), by)
     seen = stats.groupBy(*by).agg(F.count("*").alias("blocks"), total(product).alias("comparisons"))
-    pairs = _dice(_block_pairs(counts, s, by).groupBy(*by, "x", "y").agg(F.sum(F.col("n1") * F.col("n2")).alias("n")), s)
+    pairs = _pairs(stage(profiles(counts, s, by)), s, by)
     pairs = pairs.withColumn("score", T.similarity(F.col("x"), F.col("y")))
     tried = pairs.groupBy(*by).agg(total("n").alias("scored"), total(F.when(F.col("score") >= F.lit(s.threshold), F.col("n"))).alias("matches"))
     one = lambda df: df if by else df.withColumn("_one", F.lit(1))  # noqa: E731  without keys: one row each

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.ntriples import LENIENT, LENIENT_OBJECT
+from ..functions.text import WHITE
 from .components import connected_components
 
 
@@ -38,12 +38,20 @@ def rewrite_lines(lines: DataFrame, mapping: DataFrame, column: str = "value") -
     of rewritten lines become one blank.
     """
     changed = mapping.where("old <> canonical")
-    part = lambda k: F.regexp_extract(column, LENIENT, k)
     other = [c for c in lines.columns if c != column]
-    rows = lines.select(*other, column, F.col(column).rlike(LENIENT).alias("_ok"), part(1).alias("_s"), part(2).alias("_p"), part(3).alias("_o"))
-    rows = rows.withColumn("_oi", F.when(F.col("_o").rlike(LENIENT_OBJECT), F.regexp_extract("_o", LENIENT_OBJECT, 1))).withColumn("_tail", F.regexp_extract("_o", LENIENT_OBJECT, 2))
-    rows = rows.join(changed.select(F.col("old").alias("_s"), F.col("canonical").alias("_s2")), "_s", "left")
-    rows = rows.join(changed.select(F.col("old").alias("_oi"), F.col("canonical").alias("_o2")), "_oi", "left")
+    cut = lambda c, at: F.ltrim(F.substring(F.col(c), at, F.char_length(c)), F.lit(WHITE))
+    end = F.instr(column, ">")
+    rows = lines.select(*other, column, (F.col(column).startswith("<") & (end > 0)).alias("_ok"), F.substring(column, F.lit(2), end - 2).alias("_s"), cut(column, end + 1).alias("_po"))
+    end = F.instr("_po", ">")
+    rows = rows.select(*other, column, (F.col("_ok") & F.col("_po").startswith("<") & (end > 0)).alias("_ok"), "_s", F.substring("_po", F.lit(1), end).alias("_p"), cut("_po", end + 1).alias("_o"))
+    end = F.instr("_o", ">")
+    iri = F.col("_ok") & F.col("_o").startswith("<") & (end > 0)
+    rows = rows.select("*", F.when(iri, F.substring("_o", F.lit(2), end - 2)).alias("_oi"), F.when(iri, F.substring("_o", end + 1, F.char_length("_o"))).alias("_tail"))
+    # literals have no key to join by; one of their own, which is no IRI, keeps them from meeting in one task
+    spread = F.concat(F.lit("> "), F.xxhash64(column).cast("string"))
+    rows = rows.withColumn("_js", F.when(F.col("_ok"), F.col("_s")).otherwise(spread)).withColumn("_jo", F.coalesce("_oi", spread))
+    rows = rows.join(changed.select(F.col("old").alias("_js"), F.col("canonical").alias("_s2")), "_js", "left")
+    rows = rows.join(changed.select(F.col("old").alias("_jo"), F.col("canonical").alias("_o2")), "_jo", "left")
     obj = F.when(F.col("_oi").isNotNull(), F.concat(F.lit("<"), F.coalesce("_o2", "_oi"), F.lit(">"), "_tail")).otherwise(F.col("_o"))
     line = F.concat(F.lit("<"), F.coalesce("_s2", "_s"), F.lit("> "), "_p", F.lit(" "), obj)
     return rows.select(*other, F.when(F.col("_ok"), line).otherwise(F.col(column)).alias(column))

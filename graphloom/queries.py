@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
@@ -300,15 +300,19 @@ def sparql_json(spark, sf):
 # ---- merging ------------------------------------------------------------------------------------------------------
 
 
-def _same(spark, sf) -> DataFrame:
-    """Links of customers with suppliers of their nation, and of nations with regions: scores around the threshold."""
-    customers, suppliers = _table(spark, sf, "customer"), _table(spark, sf, "supplier")
-    near = customers.join(suppliers, (F.col("c_nationkey") == F.col("s_nationkey")) & (F.pmod("c_custkey", F.lit(97)) == F.pmod("s_suppkey", F.lit(97))))
-    return near.select(F.concat(F.lit("http://x/customer%2F"), "c_custkey").alias("left"), F.concat(F.lit("http://x/supplier/"), "s_suppkey").alias("right"), (F.pmod("c_custkey", F.lit(10)) / F.lit(10.0)).alias("score"))
+def _in_line(spark, sf) -> DataFrame:
+    """Each customer's orders as a ring: a link of each with the next, and of the last with the first. Low scores cut rings into chains."""
+    orders = _table(spark, sf, "orders")
+    over = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    rows = orders.select("o_orderkey", F.coalesce(F.lead("o_orderkey").over(over), F.min("o_orderkey").over(Window.partitionBy("o_custkey"))).alias("to"))
+    iri = lambda c: F.concat(F.when(F.pmod(c, F.lit(3)) == 0, "http://x/order%2F").otherwise("http://x/order/"), F.col(c))
+    return rows.select(iri("o_orderkey").alias("left"), iri("to").alias("right"), (F.lit(1.0) - F.pmod("o_orderkey", F.lit(10)) / F.lit(20.0)).alias("score"))
 
 
-_SAME = "SELECT 'http://x/customer%2F' || c_custkey AS \"left\", 'http://x/supplier/' || s_suppkey AS \"right\", (c_custkey % 10) / 10e0 AS score FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_custkey % 97 = s_suppkey % 97"
-_REACH = f"""links AS MATERIALIZED ({_SAME}), nodes AS (SELECT "left" AS u FROM links UNION SELECT "right" FROM links),
+_IRI = "CASE WHEN {0} % 3 = 0 THEN 'http://x/order%2F' ELSE 'http://x/order/' END || {0}"
+_LINE = f"""SELECT {_IRI.format('o_orderkey')} AS "left", {_IRI.format('"to"')} AS "right", 1e0 - (o_orderkey % 10) / 20e0 AS score FROM (
+  SELECT o_orderkey, coalesce(lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), min(o_orderkey) OVER (PARTITION BY o_custkey)) AS "to" FROM orders)"""
+_REACH = f"""links AS MATERIALIZED ({_LINE}), nodes AS (SELECT "left" AS u FROM links UNION SELECT "right" FROM links),
 edges AS MATERIALIZED (SELECT "left" AS a, "right" AS b FROM links WHERE score >= 0.7e0 AND "left" <> "right" UNION SELECT "right", "left" FROM links WHERE score >= 0.7e0 AND "left" <> "right"),
 reach AS (SELECT u AS a, u AS b FROM nodes UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
 mapping AS MATERIALIZED (SELECT a AS old, min({{'p': contains(b, '%'), 'n': length(b), 'u': b}}).u AS canonical FROM reach GROUP BY a)"""
@@ -316,15 +320,15 @@ mapping AS MATERIALIZED (SELECT a AS old, min({{'p': contains(b, '%'), 'n': leng
 
 @query(f"WITH RECURSIVE {_REACH} SELECT canonical, count(*) AS members FROM mapping GROUP BY canonical")
 def components(spark, sf):
-    return merge.canonical_mapping(_same(spark, sf)).groupBy("canonical").agg(F.count("*").alias("members"))
+    return merge.canonical_mapping(_in_line(spark, sf)).groupBy("canonical").agg(F.count("*").alias("members"))
 
 
 @query(f"WITH RECURSIVE {_REACH} SELECT old, canonical FROM mapping")
 def canonical_mapping(spark, sf):
-    return merge.canonical_mapping(_same(spark, sf))
+    return merge.canonical_mapping(_in_line(spark, sf))
 
 
-def _graph(spark, sf, links=_same) -> DataFrame:
+def _graph(spark, sf, links=_in_line) -> DataFrame:
     rows = links(spark, sf)
     line = lambda s, o: F.concat(F.lit("<"), s, F.lit(">\t<http://x/p/near> "), o, F.lit(" ."))
     return rows.select(line(F.col("left"), F.concat(F.lit("<"), "right", F.lit(">"))).alias("value")).union(rows.select(line(F.col("right"), F.lit('"<http://x/supplier/1>"@en'))))
@@ -336,16 +340,16 @@ UNION ALL SELECT '<' || coalesce(n.canonical, "right") || '> <http://x/p/near> "
 
 @query(f"WITH RECURSIVE {_REACH} {_GRAPH}")
 def rewrite_triples(spark, sf):
-    return merge.rewrite_lines(_graph(spark, sf), merge.canonical_mapping(_same(spark, sf)))
+    return merge.rewrite_lines(_graph(spark, sf), merge.canonical_mapping(_in_line(spark, sf)))
 
 
 @query(f"WITH RECURSIVE {_REACH} SELECT DISTINCT value FROM ({_GRAPH} UNION ALL SELECT '# ' || r_name FROM region)")
 def merge_graphs(spark, sf):
     notes = _table(spark, sf, "region").select(F.concat(F.lit("# "), "r_name").alias("value"))
-    return merge.merge_graphs([_graph(spark, sf), notes], _same(spark, sf))
+    return merge.merge_graphs([_graph(spark, sf), notes], _in_line(spark, sf))
 
 
-# the same over whole tables: every customer with an order, nothing left out by a residue
+# the same over a graph of few, very large components
 
 
 def _bought(spark, sf) -> DataFrame:
