@@ -1,22 +1,27 @@
 """Toxicity scores (operator 10): a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word's inputs are looked up by hashes: one of the whole word and, over all its positions, the largest of its
-character n-grams of each length. The tables hold smoothed log odds from the labelled sample; while the network is
-trained, each half of the sample is looked up in tables made from the other half. The network reads every window of
-WINDOW words (windows overlap by WINDOW - STRIDE words and cover the whole text) in both directions, pools its states
-by attention and gives a logit; a text's logit is that of its worst window. Training chooses the worst window of each
-text again in every epoch. A logistic calibration maps logits to probabilities at the labels' own class ratio.
+A word's inputs are embeddings: that of the whole word, without the punctuation at its end, and, of each length of
+character n-grams, the largest values among those of the n-grams at all its positions; both are looked up by hashes. The
+first value of an embedding is the smoothed log odds of label 1 among the sample's texts that hold it, the others are learned;
+while the network is trained, each half of the sample is looked up in log odds that were counted in the other half. The network reads every window of WINDOW words (windows overlap by WINDOW - STRIDE words
+and cover the whole text) in both directions, pools its states by attention and gives a logit; a text's logit is that
+of its worst window. Embeddings and network are trained together; training chooses the worst window of each text again in
+every epoch. A word or an n-gram that fewer than SEEN texts of the sample hold keeps learned values of zero, as do words that
+scoring meets for the first time. A tenth of the sample is held out of training. A logistic calibration over all of the
+sample maps logits to probabilities at the labels' own class ratio.
 
 Fitting takes at most SAMPLE labelled rows of each class, in the order of a hash of doc_id, of texts up to
-SAMPLE_BYTES; scoring takes all of every text. Labels, lang, source and doc_id are not inputs.
+SAMPLE_BYTES, in one task of an executor; scoring takes all of every text. Labels, lang, source and doc_id are not inputs.
 
 Cases: null and empty texts have no words and get the score of a window that is all padding; equal texts get equal
-scores; labels that are null, or without both classes, leave a constant score, the share of label 1; an empty table gives an empty
+scores; of several labels of one doc_id the toxic one counts, and of several rows of one doc_id each is a row of the sample; labels that
+are null, or without both classes, leave a constant score, the share of label 1; an empty table gives an empty
 result; further columns are not read.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,58 +34,54 @@ from pyspark.sql import types as T
 
 from . import textkit as K
 
-WINDOW, STRIDE, HIDDEN = 64, 48, 8
+WINDOW, STRIDE, HIDDEN = 64, 48, 10
 GRAMS = (4, 7)
-TABLE = 18  # bits of a table's index
+BITS = 18  # of the embeddings' indices
+SIZES = (8, 4, 4)  # of the embeddings of words and of n-grams
+INPUTS = sum(SIZES)
+SEEN = 3
 SAMPLE, SAMPLE_BYTES = 3000, 32_768
 REJECT = 0.7
 f32 = np.float32
 
 
-def _slots(data: np.ndarray, offs: np.ndarray):
-    """Word starts, texts and table slots: of each word, and for each length of the n-gram at each byte (-1 past a word)."""
+PUNCT = np.zeros(256, bool)
+PUNCT[[ord(c) for c in ".,;:!?\"'()[]%$&#*"]] = True
+
+
+def vocabulary(data: np.ndarray, offs: np.ndarray):
+    """Text and number of each word, and of the different words: a hash, a slot, and for each length the slots of its n-grams with the word of each."""
     starts, ends, doc = K.find_words(data, offs)
     up, down = K.powers(len(data) + 1)
     sums = np.empty(len(data) + 1, K.U64)
     sums[0] = 0
     np.cumsum((K.LOWER[data].astype(K.U64) + K.U64(1)) * up[:-1], out=sums[1:])
-    spread, shift = K.U64(0x9FB21C651E98DF25), K.U64(64 - TABLE)
-    trimmed = ends.copy()  # without the punctuation at the end
-    for _ in range(3):
-        trimmed -= (trimmed - starts > 1) & PUNCT[data[trimmed - 1]] if len(data) else 0
-    word = (K.mix((sums[trimmed] - sums[starts]) * down[starts]) >> shift).astype(np.int32)
+    for _ in range(3):  # without the punctuation at the end
+        ends = ends - ((ends - starts > 1) & PUNCT[data[ends - 1]]) if len(data) else ends
+    shift = K.U64(64 - BITS)
+    hashes, first, word = np.unique(K.mix((sums[ends] - sums[starts]) * down[starts]), return_index=True, return_inverse=True)
+    starts, length = starts[first], (ends - starts)[first]
     grams = []
-    inside = np.zeros(len(data) + 1, np.int32)
     for n in GRAMS:
-        slot = np.full(len(data), -1, np.int32)
-        if len(data) >= n:
-            h = (sums[n:] - sums[:-n]) * down[: len(data) + 1 - n] * spread
-            h ^= h >> K.U64(31)
-            slot[: len(h)] = ((h * spread) >> shift).astype(np.int32)
-            inside[:] = 0
-            last = np.maximum(ends - n + 1, starts)  # from here on an n-gram would leave the word
-            inside[starts] += 1
-            np.subtract.at(inside, last, 1)
-            slot[np.cumsum(inside[:-1]) <= 0] = -1
-        grams.append(slot)
-    return starts, doc, word, grams
+        m = np.maximum(length - n + 1, 0)
+        of = np.repeat(np.arange(len(first)), m)
+        at = np.repeat(starts - np.cumsum(m) + m, m) + np.arange(len(of))
+        grams.append(((K.mix((sums[at + n] - sums[at]) * down[at]) >> shift).astype(np.int32), of))
+    return doc, word, hashes, (hashes >> shift).astype(np.int32), grams
 
 
-PUNCT = np.zeros(256, bool)
-PUNCT[[ord(c) for c in ".,;:!?\"'()[]%$&#*"]] = True
+def _largest(table: np.ndarray, slots: np.ndarray, of: np.ndarray, words: int) -> np.ndarray:
+    """The largest values among the rows of each word; 0 for a word that has none."""
+    out = np.zeros((words, table.shape[1]), f32)
+    if len(of):
+        cut = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        for k in range(table.shape[1]):
+            out[of[cut], k] = np.maximum.reduceat(table[:, k][slots], cut)
+    return out
 
 
-def features(data: np.ndarray, offs: np.ndarray, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(words, 1 + len(GRAMS)) inputs, and the text of each word."""
-    starts, doc, word, grams = _slots(data, offs)
-    out = np.zeros((len(starts), 1 + len(GRAMS)), f32)
-    if len(starts):
-        out[:, 0] = tables[0][word]
-        for k, slot in enumerate(grams):
-            at = np.append(tables[k + 1], f32(-9))[slot]  # -1 is the last
-            most = np.maximum.reduceat(at, starts)
-            out[:, k + 1] = np.where(most > -9, most, 0)
-    return out, doc
+def _inputs(tables, slot: np.ndarray, grams) -> np.ndarray:
+    return np.concatenate([tables[0][slot], *(_largest(t, s, of, len(slot)) for t, (s, of) in zip(tables[1:], grams, strict=True))], 1)
 
 
 def windows(doc: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,11 +94,11 @@ def windows(doc: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return first[text] + k * STRIDE, np.minimum(WINDOW, n[text] - k * STRIDE), text
 
 
-def gather(x: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(steps, windows, inputs) and the mask of steps that are words."""
+def gather(x: np.ndarray, at: np.ndarray, n: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(steps, windows, inputs) and the mask of steps that are words; ``word``: the row of ``x`` of each word."""
     step = np.arange(int(n.max()) if len(n) else 1)
     mask = step[:, None] < n[None, :]
-    index = np.where(mask, at[None, :] + step[:, None], 0)
+    index = word[np.where(mask, at[None, :] + step[:, None], 0)]
     return x[index] * mask[..., None], mask.astype(f32)
 
 
@@ -139,7 +140,8 @@ class Network:
         logit = (pooled @ self.p["o"])[:, 0] + self.p["c"]
         return (logit, (states, tape, a, pooled)) if keep else logit
 
-    def backward(self, x, mask, kept, dlogit) -> dict[str, np.ndarray]:
+    def backward(self, x, mask, kept, dlogit) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Gradients of the parameters and of the inputs."""
         H, (T, B, D) = HIDDEN, x.shape
         states, tape, a, pooled = kept
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -149,6 +151,7 @@ class Network:
         de = a * (da - (a * da).sum(0))
         g["v"] = np.einsum("tbh,tb->h", states, de)[:, None]
         dstates = a[..., None] * dpool + de[..., None] * self.p["v"][:, 0]
+        din = np.zeros_like(x)
         dh, now = np.zeros((B, H), f32), 1
         for d, t, h, z, r, new, hun in reversed(tape):
             if d != now:
@@ -161,10 +164,11 @@ class Network:
             dr = dn * hun * r * (1 - r)
             dx, du = np.concatenate((dz, dr, dn), 1), np.concatenate((dz, dr, dn * r), 1)
             g[f"W{d}"] += x[t].T @ dx
+            din[t] += dx @ self.p[f"W{d}"].T
             g[f"b{d}"] += dx.sum(0)
             g[f"U{d}"] += h.T @ du
             dh = dh * z + du @ self.p[f"U{d}"].T + keep
-        return g
+        return g, din
 
 
 @dataclass
@@ -179,14 +183,15 @@ class Model:
         out = np.zeros(len(column), np.float64)
         if self.network is None:
             return out
-        none = float(self.network.forward(np.zeros((1, 1, 1 + len(GRAMS)), f32), np.ones((1, 1), f32))[0])
+        none = float(self.network.forward(np.zeros((1, 1, INPUTS), f32), np.ones((1, 1), f32))[0])
         for i, j, data, offs in K.pieces(column):
-            x, doc = features(data, offs, self.tables)
+            doc, word, _, slot, grams = vocabulary(data, offs)
+            x = _inputs(self.tables, slot, grams)
             at, n, text = windows(doc, j - i)
             best = np.full(j - i, -np.inf)
             for k in range(0, len(at), 4096):
                 s = slice(k, k + 4096)
-                np.maximum.at(best, text[s], self.network.forward(*gather(x, at[s], n[s])))
+                np.maximum.at(best, text[s], self.network.forward(*gather(x, at[s], n[s], word)))
             out[i:j] = np.where(np.isfinite(best), best, none)
         return out
 
@@ -194,18 +199,59 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(column) + self.offset, -40, 40)))
 
 
-def _tables(pieces, label: np.ndarray, keep: np.ndarray) -> list[np.ndarray]:
-    """Log odds of label 1 by slot, from the numbers of texts with and without it."""
-    size = 1 << TABLE
-    count = np.zeros((1 + len(GRAMS), 2, size), f32)
-    for i, data, offs in pieces:
-        if keep[i]:
-            _, _, word, grams = _slots(data, offs)
-            for k, slot in enumerate((word, *grams)):
-                count[k, label[i], np.unique(slot[slot >= 0])] += 1
+class _Adam:
+    """Steps of one array; ``rows`` limits a step to those that have a gradient."""
+
+    def __init__(self, value: np.ndarray, rate: float, decay: float = 0.0):
+        self.value, self.rate, self.decay, self.m, self.v, self.t = value, rate, decay, np.zeros_like(value), np.zeros_like(value), 0
+
+    def step(self, g: np.ndarray, rows=slice(None)) -> None:
+        self.t += 1
+        m = self.m[rows] = 0.9 * self.m[rows] + 0.1 * g
+        v = self.v[rows] = 0.999 * self.v[rows] + 0.001 * g * g
+        move = (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
+        self.value[rows] -= (self.rate * move + self.decay * self.value[rows]).astype(f32)
+
+
+def _different(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The different pairs of numbers below 2**31."""
+    both = np.unique(a.astype(np.int64) << 32 | b.astype(np.int64))
+    return np.stack((both >> 32, both & 0xFFFFFFFF))
+
+
+def _log_odds(held: np.ndarray, label: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """Of each slot, from pairs (text, slot): the smoothed log odds of label 1, halved, among the texts to ``keep``."""
     n = np.array([(keep & (label == y)).sum() for y in (0, 1)], f32)
-    rate = (count + 0.5 * (n / n.sum())[None, :, None]) / (n + 0.5)[None, :, None]
-    return list(np.clip(np.log(rate[:, 1] / rate[:, 0]) / 2, -3, 3).astype(f32))
+    count = np.stack([np.bincount(held[1][label[held[0]] == y], minlength=1 << BITS) for y in (0, 1)])
+    rate = (count + 0.5 * (n / n.sum())[:, None]) / (n + 0.5)[:, None]
+    return np.clip(np.log(rate[1] / rate[0]) / 2, -3, 3).astype(f32)
+
+
+def _pick(of_words: np.ndarray, slots: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram slots of some words, in their order, with the place of each word; ``of`` ascends."""
+    first, last = np.searchsorted(of, of_words, "left"), np.searchsorted(of, of_words, "right")
+    m = last - first
+    place = np.repeat(np.arange(len(of_words)), m)
+    return slots[np.repeat(first - np.cumsum(m) + m, m) + np.arange(len(place))], place
+
+
+def calibrated(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic regression of y on z with weights w, by damped Newton steps."""
+
+    def loss(a: float, b: float) -> float:
+        u = a * z + b
+        return float((w * (np.logaddexp(0, u) - y * u)).sum() + 0.05 * (a - 1) ** 2)
+
+    a, b = 1.0, 0.0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
+        d, s = w * (p - y), w * p * (1 - p) + 1e-9
+        H = np.array([[(s * z * z).sum() + 0.1, (s * z).sum()], [(s * z).sum(), s.sum() + 1e-6]])
+        move, step = np.linalg.solve(H, np.array([(d * z).sum() + 0.1 * (a - 1), d.sum()])), 1.0
+        while step > 1e-6 and loss(a - step * move[0], b - step * move[1]) > loss(a, b):
+            step /= 2
+        a, b = a - step * move[0], b - step * move[1]
+    return max(a, 0.05), b
 
 
 def fit(texts: list[str | None], labels: list[int], ratio: float, epochs: int = 6, seed: int = 10) -> Model:
@@ -215,81 +261,112 @@ def fit(texts: list[str | None], labels: list[int], ratio: float, epochs: int =
         p = min(max(float(label.mean()) if len(label) else ratio, 1e-6), 1 - 1e-6)
         return Model([], None, 0.0, float(np.log(p / (1 - p))))
     rng = np.random.default_rng(seed)
-    pieces = []
-    for i, t in enumerate(texts):
-        data, offs = K.buffers(pa.array([t], pa.string()))
-        pieces.append((i, data, offs))
-    half = rng.permutation(len(label)) % 2 == 0
-    crossed = {h: _tables(pieces, label, half != h) for h in (True, False)}
-    xs, at, n, text, base = [], [], [], [], 0
-    for i, data, offs in pieces:
-        x, doc = features(data, offs, crossed[bool(half[i])])
-        a, m, _ = windows(doc, 1)
-        xs.append(x)
-        at.append(a + base)
-        n.append(m)
-        text.append(np.full(len(a), i))
-        base += len(x)
-    x, at, n, text = (np.concatenate(v) for v in (xs, at, n, text))
-    net = Network(x.shape[1], seed)
+    data, offs = K.buffers(pa.array(texts, pa.string()))
+    doc, word, _, slot, grams = vocabulary(data, offs)
+    at, n, text = windows(doc, len(label))
+    out = rng.random(len(label)) < 0.1
+    if len(np.unique(label[out])) < 2 or len(np.unique(label[~out])) < 2:
+        out[:] = False
+    half = rng.permutation(len(label)) % 2
+    pairs = _different(doc, word)  # texts and words
+    held = [_different(pairs[0], slot[pairs[1]])]
+    for slots, place in grams:
+        found, back = _pick(pairs[1], slots, place)
+        held.append(_different(pairs[0][back], found))
+    tables = [(rng.standard_normal((1 << BITS, size)) * 0.01).astype(f32) for size in SIZES]
+    live = [np.bincount(h[1], minlength=1 << BITS) >= SEEN for h in held]
+    odds = {}  # counted in all texts that are trained on, in those of half 1, of half 0
+    for key, keep in ((None, ~out), (0, ~out & (half == 1)), (1, ~out & (half == 0))):
+        odds[key] = [_log_odds(h[:, keep[h[0]]], label, keep) for h in held]
+    for t, ok, o in zip(tables, live, odds[None], strict=True):
+        t *= ok[:, None]
+        t[:, 0] = o
+    net = Network(INPUTS, seed)
     weight = np.where(label == 1, 0.5 / label.mean(), 0.5 / (1 - label.mean())).astype(f32)
-    moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
-    step = 0
-
-    def worst() -> tuple[np.ndarray, np.ndarray]:
-        logit = np.concatenate([net.forward(*gather(x, at[k : k + 2048], n[k : k + 2048])) for k in range(0, len(at), 2048)])
+    adam, deep = {k: _Adam(v, 0.01) for k, v in net.p.items()}, [_Adam(t[:, 1:], 0.003, 1e-3) for t in tables]
+    ends = np.cumsum(SIZES)
+
+    def inputs(used: np.ndarray, mine) -> np.ndarray:
+        """Inputs of different words, by half of the text that they are read in, or for a text held out (2)."""
+        x = np.stack([_inputs(tables, slot[used], mine)] * 3)
+        for h in (0, 1):
+            for o, z, size, (slots, place) in zip(odds[h], ends, SIZES, [(slot[used], np.arange(len(used))), *mine], strict=True):
+                x[h, :, z - size] = _largest(o[:, None], slots, place, len(used))[:, 0]
+        return x
+
+    kind = np.where(out, 2, half)
+
+    def worst(first: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The worst window of each text that has one, and the logits of all windows; at first by the sum of the log odds."""
+        x = inputs(np.arange(len(slot)), grams)
+        if first:
+            sums = np.concatenate(([0], np.cumsum(x[kind[doc], word][:, ends - SIZES].sum(1), dtype=np.float64)))
+            logit = sums[at + n] - sums[at]
+        else:
+            logit = np.zeros(len(at), f32)
+            for h in range(3):
+                mine = np.flatnonzero(kind[text] == h)
+                for k in range(0, len(mine), 2048):
+                    part = mine[k : k + 2048]
+                    logit[part] = net.forward(*gather(x[h], at[part], n[part], word))
         order = np.lexsort((logit, text))
-        last = np.flatnonzero(np.append(text[order][1:] != text[order][:-1], True))
-        return order[last], logit
+        return order[np.flatnonzero(np.append(text[order][1:] != text[order][:-1], True))] if len(order) else order, logit
+
+    def learn(part: np.ndarray) -> None:
+        steps = np.arange(int(n[part].max()))
+        mask = steps[:, None] < n[part][None, :]
+        used, back = np.unique(word[np.where(mask, at[part][None, :] + steps[:, None], 0)[mask]], return_inverse=True)
+        mine = [_pick(used, *g) for g in grams]
+        x = inputs(used, mine)
+        full = np.zeros((*mask.shape, INPUTS), f32)
+        full[mask] = x[np.broadcast_to(kind[text[part]], mask.shape)[mask], back]
+        logit, kept = net.forward(full, mask.astype(f32), True)
+        p = 1 / (1 + np.exp(-logit))
+        grads, din = net.backward(full, mask.astype(f32), kept, ((p - label[text[part]]) * weight[text[part]] / len(part)).astype(f32))
+        scale = min(1.0, 1 / (np.sqrt(sum(float((v * v).sum()) for v in grads.values())) + 1e-9))
+        for k, g in grads.items():
+            adam[k].step(g * scale)
+        din = din[mask] * scale
+        dx = np.stack([np.bincount(back, din[:, k], len(used)) for k in range(INPUTS)], 1)
+        for t, (size, z) in enumerate(zip(SIZES, ends, strict=True)):
+            g, slots = dx[:, z - size + 1 : z], slot[used]
+            if t:  # to the n-grams whose values were the largest
+                slots, place = mine[t - 1]
+                g = g[place] * (tables[t][slots, 1:] == x[2, place, z - size + 1 : z])
+            rows, row = np.unique(slots, return_inverse=True)
+            total = np.stack([np.bincount(row, g[:, k], len(rows)) for k in range(size - 1)], 1).astype(f32)
+            deep[t].step(total[live[t][rows]], rows[live[t][rows]])
 
-    # at first: the window with the largest sum of inputs
-    run = np.concatenate(([0], np.cumsum(x.sum(1), dtype=np.float64)))
-    order = np.lexsort((run[at + n] - run[at], text))
-    chosen = order[np.flatnonzero(np.append(text[order][1:] != text[order][:-1], True))]
     for epoch in range(epochs):
-        if epoch > 1:
-            chosen, _ = worst()
-        per = max(1, min(8, 3000 // len(chosen) + 1))
-        for part in (p for _ in range(per) for p in np.array_split(rng.permutation(chosen), -(-len(chosen) // 64))):
-            gx, mask = gather(x, at[part], n[part])
-            logit, kept = net.forward(gx, mask, True)
-            p = 1 / (1 + np.exp(-logit))
-            grads = net.backward(gx, mask, kept, ((p - label[text[part]]) * weight[text[part]] / len(part)).astype(f32))
-            step += 1
-            norm = np.sqrt(sum(float((v * v).sum()) for v in grads.values()))
-            for k, g in grads.items():
-                g = g * min(1.0, 1 / (norm + 1e-9))
-                m, v = moment[k]
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                net.p[k] -= (0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(f32)
+        chosen = worst(epoch < 2)[0]
+        chosen = chosen[~out[text[chosen]]]
+        per = max(1, min(8, 6000 // max(1, len(chosen))))
+        for part in (p for _ in range(per) for p in np.array_split(rng.permutation(chosen), -(-len(chosen) // 96)) if len(p)):
+            learn(part)
     chosen, logit = worst()
-    # calibration: logistic regression of the label on the worst window's logit, classes weighted to their own ratio
     y, z = label[text[chosen]].astype(float), logit[chosen].astype(float)
     ratio = min(max(ratio, 1e-3), 1 - 1e-3)
-    w = np.where(y == 1, ratio / max(y.mean(), 1e-9), (1 - ratio) / max(1 - y.mean(), 1e-9))
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
-        d, s = w * (p - y), w * p * (1 - p) + 1e-6
-        H = np.array([[(s * z * z).sum() + 1e-2, (s * z).sum()], [(s * z).sum(), s.sum() + 1e-2]])
-        move = np.linalg.solve(H, np.array([(d * z).sum() + 1e-2 * (a - 1), d.sum()]))
-        a, b = a - move[0], b - move[1]
-    return Model(_tables(pieces, label, np.ones(len(label), bool)), net, float(max(a, 0.05)), float(b))
+    w = np.where(y == 1, ratio / max(y.mean(), 1e-9), (1 - ratio) / max(1 - y.mean(), 1e-9)) if len(y) else y
+    return Model(tables, net, *calibrated(z, y, w))
 
 
 def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on the labelled rows of ``docs`` whose crc32(doc_id as text) mod 3 is not 1."""
-    rows = labels.where("doc_id is not null and toxic in (0, 1)").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    """Fit on the labelled rows of ``docs`` whose crc32(doc_id as text) mod 3 is not 1, in one task; the model, some 16 MB, comes to the driver."""
+    rows = labels.where("doc_id is not null and toxic in (0, 1)").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    rows = rows.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     share = rows.agg(F.avg("toxic")).first()[0]
-    order = (F.xxhash64("doc_id"), "doc_id", "toxic")
+    share = float(share if share is not None else 0.5)
+    order = (F.xxhash64("doc_id"), "doc_id")
     ids = rows.where("toxic = 1").orderBy(*order).limit(SAMPLE).union(rows.where("toxic = 0").orderBy(*order).limit(SAMPLE))
-    chosen = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(ids), "doc_id").toArrow()  # at most 2 * SAMPLE rows are broadcast
-    found = {}
-    for d, t, y in zip(*(chosen.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True):
-        found[(zlib.crc32(str(d).encode()), d, t)] = y
-    keys = sorted(found)
-    return fit([k[2] for k in keys], [found[k] for k in keys], float(share if share is not None else 0.5))
+    chosen = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(ids), "doc_id")  # at most 2 * SAMPLE rows are broadcast
+
+    def run(t: pa.Table) -> pa.Table:
+        found = sorted(zip((zlib.crc32(str(d).encode()) for d in t.column("doc_id").to_pylist()), (x or "" for x in t.column("text").to_pylist()), t.column("toxic").to_pylist(), strict=True))
+        model = fit([x for _, x, _ in found], [y for _, _, y in found], share)
+        return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    made = chosen.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(run, "model binary").collect()
+    return pickle.loads(made[0][0]) if made else fit([], [], share)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,8 +1,11 @@
 """Operators on whole texts: 1, 2, 4, 6, 10."""
 
 import hashlib
-import re
+import os
 import random
+import re
+import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -14,6 +17,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from graphloom.llm import bytebpe, quotes, secrets, spotsigs, toxicity
+from graphloom.llm import textkit as K
 
 BASE = [
     ("assign", re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 8),
@@ -206,7 +210,7 @@ def test_toxicity_gradients():
     mask[4:, 1] = 0
     y = np.array([0, 1, 1, 0])
     logit, kept = net.forward(x, mask, True)
-    g = net.backward(x, mask, kept, (1 / (1 + np.exp(-logit)) - y).astype(np.float32))
+    g, dx = net.backward(x, mask, kept, (1 / (1 + np.exp(-logit)) - y).astype(np.float32))
     loss = lambda: np.logaddexp(0, np.where(y == 1, -1, 1) * net.forward(x, mask).astype(np.float64)).sum()
     for k, v in net.p.items():
         at = np.unravel_index(np.argmax(np.abs(g[k])), v.shape)
@@ -215,6 +219,12 @@ def test_toxicity_gradients():
         v[at] -= 2e-2
         assert (up - loss()) / 2e-2 == pytest.approx(float(g[k][at]), rel=0.05, abs=2e-3)
         v[at] += 1e-2
+    assert not dx[4:, 1].any()
+    at = np.unravel_index(np.argmax(np.abs(dx)), dx.shape)
+    x[at] += 1e-2
+    up = loss()
+    x[at] -= 2e-2
+    assert (up - loss()) / 2e-2 == pytest.approx(float(dx[at]), rel=0.05, abs=2e-3)
 
 
 def test_windows_cover_every_word():
@@ -227,8 +237,55 @@ def test_windows_cover_every_word():
     assert covered == set(range(265))
 
 
+def test_inputs_are_those_of_the_words():
+    """Inputs by distinct words against a look-up word by word."""
+    texts = ["One two,  one TWO! éa one...", None, "", "x abcdefghij, abcdefghij"]
+    data, offs = K.buffers(pa.array(texts, pa.string()))
+    doc, word, hashes, slot, grams = toxicity.vocabulary(data, offs)
+    assert doc.tolist() == [0] * 6 + [3] * 3 and len(hashes) == 5
+    of = [word[i] for i in range(9)]
+    assert of[0] == of[2] == of[5] and of[1] == of[3] and of[7] == of[8] and len(set(of)) == 5
+    rng = np.random.default_rng(0)
+    tables = [rng.standard_normal((1 << toxicity.BITS, s)).astype(np.float32) for s in toxicity.SIZES]
+    x = toxicity._inputs(tables, slot, grams)
+    for k, n in enumerate(toxicity.GRAMS):
+        assert [int((grams[k][1] == w).sum()) for w in of] == [max(0, len(w) - n + 1) for w in (b"one", b"two", b"one", b"two", "éa".encode(), b"one", b"x", b"abcdefghij", b"abcdefghij")]
+        z = sum(toxicity.SIZES[: k + 2])
+        mine = grams[k][0][grams[k][1] == of[7]]
+        assert np.array_equal(x[of[7], z - toxicity.SIZES[k + 1] : z], tables[k + 1][mine].max(0)) and not x[of[0], z - toxicity.SIZES[k + 1] : z].any()
+    alone = toxicity.vocabulary(*K.buffers(pa.array(["abcdefghij"])))
+    assert np.array_equal(toxicity._inputs(tables, alone[3], alone[4])[0], x[of[7]])
+
+
+def test_calibration_of_separable_and_noisy_logits():
+    z, y = np.array([-9.0, -8, -7, 8, 9, 10]), np.array([0, 0, 0, 1, 1, 1.0])
+    a, b = toxicity.calibrated(z, y, np.ones(6))
+    assert 0.05 <= a < 20 and ((1 / (1 + np.exp(-(a * z + b))) > 0.5) == (y == 1)).all()
+    rng = np.random.default_rng(1)
+    z = rng.standard_normal(4000) * 3
+    y = (rng.random(4000) < 1 / (1 + np.exp(-(0.7 * z - 1)))).astype(float)
+    a, b = toxicity.calibrated(z, y, np.ones(4000))
+    assert a == pytest.approx(0.7, abs=0.08) and b == pytest.approx(-1, abs=0.12)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_toxicity_on_held_out_documents():
+    """Label 1 is noisy: some of its documents hold nothing that others of label 1 do. Of those that hold a word that is ten times as frequent there, almost all are found."""
+    docs = pd.read_parquet("/root/testdata/sf0.1/documents.parquet").merge(pd.read_parquet("/root/testdata/sf0.1/labels.parquet"), on="doc_id")
+    held = docs["doc_id"].map(lambda d: zlib.crc32(str(d).encode()) % 3 == 1)
+    train, test = docs[~held & (docs["text"].str.len() < 10_000)].head(1200), docs[held].head(700)
+    model = toxicity.fit(train["text"].tolist(), train["toxic"].tolist(), float(train["toxic"].mean()))
+    words = lambda t: {w.strip(".,!?").lower() for w in t.split()}
+    count = {y: Counter(w for t in train["text"][train["toxic"] == y] for w in words(t)) for y in (0, 1)}
+    n = {y: int((train["toxic"] == y).sum()) for y in (0, 1)}
+    telling = {w for w, c in count[1].items() if c >= 8 and c / n[1] > 10 * (count[0][w] + 1) / n[0]}
+    found = model.scores(pa.array(test["text"].tolist())) >= 0.7
+    toxic, plain = (test["toxic"] == 1).to_numpy(), np.array([not (words(t) & telling) for t in test["text"]])
+    assert telling and found[toxic & ~plain].mean() >= 0.9 and found[~toxic].mean() <= 0.03
+
+
 def test_scoring_tables(spark, docs, empty):
-    labels = spark.createDataFrame([(0, 0, None), (3, 0, 1), (9, 0, 0), (None, 0, 1), (12, 1, 0), (15, 1, 1)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(0, 0, None), (3, 0, 1), (9, 0, 0), (None, 0, 1), (12, 1, 0), (15, 1, 1), (15, 1, 0)], "doc_id long, quality int, toxic int")
     model = toxicity.fit_on(docs, labels)
     got = toxicity.score(docs, model)
     assert got.count() == docs.count() and set(got.columns) == {*docs.columns, "predicted"}
