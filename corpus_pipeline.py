@@ -3,6 +3,12 @@
 Each stage takes what the one before it kept, as Parquet. Documents that are not rejected pass the filtering stages
 unchanged; a secret in a text is replaced by a mark; the mix takes runs of words, so a document may come back as
 several rows, or as none where its source is above its target.
+
+Cases: a null or empty text is scored as a window without words, links with nothing, holds no secret, and takes nothing in the
+mix, so it ends there; rows of one doc_id are one document, of which the row of the least text stays, and rows of null
+doc_id all stay; equal texts are one group, of which the least doc_id stays; a null source is a source of its own; an
+empty table stays empty; labels without both classes reject all or nothing, by their share; further columns are carried
+through, and ``n_chars``, where there is one, is kept up to date.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import bytebpe, mixing, secrets, shingles, toxicity
-from graphloom.plans.staging import stage
+from graphloom.plans.staging import stage, unstage
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +30,8 @@ def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secrets.redact(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    out = secrets.redact(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,5 +50,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, function in STAGES[:-1]:
-        docs = stage(function(spark, docs, sf_dir))
+        docs, before = stage(function(spark, docs, sf_dir)), docs
+        unstage(before)
     return STAGES[-1][1](spark, docs, sf_dir)
