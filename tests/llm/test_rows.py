@@ -64,8 +64,33 @@ def test_estimates_never_exclude_a_link():
     y = x + rng.standard_normal(x.shape) * rng.choice([0.01, 0.1, 0.15, 0.2], (300, 1))
     exact = (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1))
     assert (embeddings.links(x, y) == (exact >= 0.98)).all() and (exact >= 0.98).sum() > 50
-    turned, signs, f = embeddings.codes(x / np.linalg.norm(x, axis=1)[:, None])
-    assert np.allclose((signs * turned).sum(1) / np.sqrt(24) / f, 1, atol=1e-5)  # of itself the estimate is 1
+    c = embeddings.codes(x)
+    assert c.code.shape == (300, 1) and c.code.dtype == np.uint64
+    of = embeddings.estimates(24, c, c)  # of itself the estimate is 1, but for the steps
+    assert (np.abs(of - 1) <= c.slack / np.sqrt(24) / c.f + 1e-9).all()
+    other = embeddings.codes(y)
+    near = np.flatnonzero(np.diag(exact) >= 0.98)
+    apart = np.bitwise_count(c.code ^ other.code).sum(1)
+    assert (apart[near] <= np.maximum(c.most, other.most)[near]).all()
+
+
+def test_estimates_are_unbiased_and_codes_exclude_most(monkeypatch):
+    rng = np.random.default_rng(2)
+    x, y = rng.standard_normal((4000, 64)), rng.standard_normal((4000, 64))
+    y = x * 0.5 + y
+    exact = (embeddings.unit(x) * embeddings.unit(y)).sum(1)
+    a, b = embeddings.codes(x), embeddings.codes(y)
+    assert abs((embeddings.estimates(64, a, b) - exact).mean()) < 0.01
+    far = np.bitwise_count(a.code ^ embeddings.codes(rng.standard_normal((4000, 64))).code).sum(1) > np.maximum(a.most, b.most)
+    assert far.mean() > 0.95
+
+
+def test_dense_strips_decide_as_sparse_ones(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal(32) + rng.standard_normal((260, 32)) * 0.14
+    want = embeddings.links(x, x)
+    monkeypatch.setattr(embeddings, "MANY", 1)
+    assert (embeddings.links(x, x) == want).all() and 0.01 < want.mean() < 0.99
 
 
 def test_places(spark):
