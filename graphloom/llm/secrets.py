@@ -1,12 +1,17 @@
 """Secret scans (operator 1): rules, and a character convolutional network in numpy over every candidate and its context.
 
-Rules find assignments to words like password and token, access keys and long hexadecimal runs; their findings stand.
-Every other run of RUN or more of the characters of keys that holds a digit and a letter is a candidate. The network reads
-the candidate between LEFT and RIGHT bytes of context, as one-byte characters: an embedding with a mark for the
-candidate, a convolution, the largest and the mean activation, and a logit; a long candidate is read in overlapping parts and
-its highest logit counts. It is trained on labelled findings: by default those that ``labelled_findings`` makes up
-from the formats of well-known keys and of things that look like keys. The logits are calibrated on findings that were not trained on,
-and the threshold is the highest at which RECALL of them is kept.
+Candidates are of four kinds. Rules find assignments to words like password and token, access keys and long hexadecimal runs;
+these findings stand, whatever the network says of them. The fourth kind, net, is what the rules leave: runs of RUN or more
+of the characters of keys with a digit and a letter, or with letters of both cases or capitals only, and runs of SHORT or more after a
+name like key, auth or credential and a colon or an equals sign; of a run that a rule finding covers in part, the rest.
+
+The network reads every candidate of every kind between LEFT and RIGHT bytes of context, as one-byte characters: an
+embedding with a mark for the candidate, a convolution, the largest and the mean activation, and a logit; a long
+candidate is read in overlapping parts and its highest logit counts. It is trained on labelled findings: by default those
+that ``labelled_findings`` makes up from the formats of well-known keys and of things that look like keys. The logits
+are calibrated on findings that were not trained on. Each kind has a threshold of its own, the highest at which RECALL of
+its held-out findings is kept, where a finding that is no candidate counts as lost. A net candidate at or above its threshold
+is a span more; a rule finding at or above its own is confirmed.
 
 Cases: null text counts as empty, without spans; texts of any length are scanned whole; equal texts have equal spans;
 an empty table gives an empty result; further columns are kept by ``redact`` and not read by ``scan``.
@@ -32,16 +37,17 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "net")
 WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-RUN = 16
+#: Names beyond those of the rules after which a short run is a candidate, and how they stand before it.
+NAMES = (b"pwd", b"passphrase", b"credential", b"auth", b"private", b"bearer", b"access", b"client", b"signature", b"key")
+NAMED = re.compile(rb"""(?i:pwd|passphrase|credential|auth|private|bearer|access|client|signature|key)[A-Za-z0-9_-]{0,24}["']?\x20*(?:[:=]|=>)\x20*["']?([A-Za-z0-9+/_.=-]{8,})""")
+RUN, SHORT = 16, 8
 LEFT, BODY, RIGHT = 24, 48, 12
 RECALL = 0.95
-FINDINGS = 3000
+FINDINGS = 4000
 
-_KEY = np.zeros(256, bool)
+_KEY, _DIGIT, _SMALL, _CAPITAL = (np.zeros(256, bool) for _ in range(4))
+_DIGIT[48:58] = _SMALL[97:123] = _CAPITAL[65:91] = True
 _KEY[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_.=-"]] = True
-_DIGIT, _ALPHA = np.zeros(256, bool), np.zeros(256, bool)
-_DIGIT[48:58] = True
-_ALPHA[[*range(65, 91), *range(97, 123)]] = True
 
 
 def rule_spans(raw: bytes) -> list[tuple[int, int, str]]:
@@ -51,8 +57,13 @@ def rule_spans(raw: bytes) -> list[tuple[int, int, str]]:
     return out + [(m.start(), m.end(), "hex") for m in HEX.finditer(raw) if m.end() - m.start() >= 32]
 
 
+def _has(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: np.ndarray) -> np.ndarray:
+    n = np.concatenate(([0], np.cumsum(which[data], dtype=np.int64)))
+    return n[ends] > n[starts]
+
+
 def runs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end, text of every run of RUN key characters, and whether it has a digit and a letter. A run ends with its text."""
+    """Start, end, text of every run of RUN key characters, and whether it may be a key. A run ends with its text."""
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, z, z.astype(bool)
@@ -63,9 +74,35 @@ def runs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     ends = np.flatnonzero(key & (~np.append(key[1:], False) | edge[1:])) + 1
     long = ends - starts >= RUN
     starts, ends = starts[long], ends[long]
-    digits, letters = (np.concatenate(([0], np.cumsum(c[data], dtype=np.int64))) for c in (_DIGIT, _ALPHA))
-    both = (digits[ends] > digits[starts]) & (letters[ends] > letters[starts])
-    return starts, ends, np.searchsorted(offs[1:], starts, "right"), both
+    digit, small, capital = (_has(data, starts, ends, c) for c in (_DIGIT, _SMALL, _CAPITAL))
+    return starts, ends, np.searchsorted(offs[1:], starts, "right"), capital | (digit & small)  # small letters alone are words
+
+
+def _trimmed(raw: bytes, a: int, z: int) -> tuple[int, int]:
+    core = raw[a:z]
+    return a + len(core) - len(core.lstrip(b".-_=/+")), z - (len(core) - len(core.rstrip(b".-_/+")))
+
+
+def net_candidates(raw: bytes, found: list[tuple[int, int, str]], long: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Places of the kind net: ``long`` runs and short ones after a name, without what the rule findings cover."""
+    wanted = sorted({(a, z, RUN) for a, z in long} | {(*m.span(1), SHORT) for m in NAMED.finditer(raw)})
+    taken, out, at, upto = sorted((a, z) for a, z, _ in found), [], 0, 0
+    for a, z, least in wanted:
+        a = max(a, upto)  # a run after a name may be part of a long one
+        while at < len(taken) and taken[at][1] <= a:
+            at += 1
+        k = at
+        while a < z:
+            while k < len(taken) and taken[k][1] <= a:
+                k += 1
+            stop = min(z, taken[k][0]) if k < len(taken) else z
+            if stop > a:
+                x, y = _trimmed(raw, a, stop)
+                if y - x >= least:
+                    out.append((x, y))
+            a = max(stop, min(z, taken[k][1])) if k < len(taken) else z
+        upto = max(upto, z)
+    return out
 
 
 def windows(raw: bytes, start: int, end: int) -> list[tuple[bytes, int, int]]:
@@ -78,39 +115,62 @@ def windows(raw: bytes, start: int, end: int) -> list[tuple[bytes, int, int]]:
     return out
 
 
-def labelled_findings(n: int = FINDINGS, seed: int = 1) -> tuple[list[bytes], list[tuple[int, int]], np.ndarray]:
-    """Made-up texts, the finding's place in each, and its label: keys of known formats, and things that look like keys."""
+def labelled_findings(n: int = FINDINGS, seed: int = 1) -> tuple[list[bytes], list[tuple[int, int]], np.ndarray, list[str]]:
+    """Made-up texts, the finding's place in each, its label and its kind: keys of known formats, and things that look like keys."""
     rng = np.random.default_rng(seed)
     lower, upper, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     some = lambda chars, k: "".join(rng.choice(list(chars), k))
     size = lambda a, z: int(rng.integers(a, z + 1))
     syllables = "the on re sti an ler ka mo der ein que ion pa vi tra ne so lu".split()
     word = lambda: "".join(rng.choice(syllables, size(1, 4)))
+    host = lambda: f"{rng.choice(['mail', 'www', 'smtp', 'api', 'cdn', 'db', word()])}{size(0, 99)}.{rng.choice(['example', word()])}.{rng.choice(['com', 'org', 'net'])}"
     keys = [
         lambda: some(lower + upper + digit, size(20, 64)), lambda: some(lower + upper + digit + "+/", size(28, 88)) + rng.choice(["", "=", "=="]), lambda: "ghp_" + some(lower + upper + digit, 36),
         lambda: "sk_live_" + some(lower + upper + digit, 24), lambda: "xoxb-" + some(digit, 12) + "-" + some(lower + upper + digit, 24), lambda: "AIza" + some(lower + upper + digit + "-_", 35),
         lambda: "eyJ" + some(lower + upper + digit, size(17, 40)) + "." + some(lower + upper + digit + "-_", size(20, 60)), lambda: some(upper + "234567", size(26, 40)), lambda: some("ABCDEF" + digit, size(32, 64)), lambda: some(lower + digit, size(24, 48)),
+        lambda: some(lower + upper, size(32, 64)),
     ]
     others = [
-        lambda: some(digit, size(16, 22)), lambda: f"{word()}{size(0, 99)}.{word()}.com", lambda: f"{word()}.{size(0, 99)}@", lambda: f"20{size(10, 30)}-0{size(1, 9)}-{size(10, 28)}T{size(10, 23)}.{size(10, 59)}.{size(10, 59)}",
+        lambda: some(digit, size(16, 22)), host, host, lambda: f"{word()}.{size(0, 99)}.{host()}", lambda: f"20{size(10, 30)}-0{size(1, 9)}-{size(10, 28)}T{size(10, 23)}.{size(10, 59)}.{size(10, 59)}",
         lambda: "/".join([word() for _ in range(size(3, 5))]) + f"/{size(1, 9999)}", lambda: f"{word()}_{word()}_{word()}_{size(1, 99)}", lambda: f"{word()}-{word()}-{size(1, 9)}.{size(0, 30)}.{size(0, 9)}-{word()}",
         lambda: rng.choice(["DE", "FR", "ES", "IT", "GB"]) + some(digit, size(18, 22)), lambda: f"IMG_{some(digit, 8)}_{some(digit, 6)}.jpg", lambda: "-".join(some("abcdef" + digit, k) for k in (8, 4, 4, 4, 12)),
         lambda: word() + word() + word() + word() + word() + some(digit, 1), lambda: (word() + "." + word() + word() + "." + word() + some(digit, 2)).ljust(16, "0"), lambda: "=" * size(4, 20) + word() + str(size(1, 9)) + "=" * size(4, 20),
+        lambda: "".join(word().title() for _ in range(size(3, 7))), lambda: "".join(word().upper() for _ in range(size(3, 8))), lambda: "_".join(word().upper() for _ in range(size(3, 6))), lambda: word().title() + "-" + "-".join(word() for _ in range(size(3, 5))),
+        lambda: "/".join(word().title() for _ in range(size(3, 5))) + ".html", lambda: word().title() + word() + word() + word() + word(),
     ]
+    short = [lambda: some(lower + upper + digit, size(8, 15)), lambda: some(lower, size(4, 6)) + some(digit, size(3, 5)) + some(upper, 2)]
+    plain = [lambda: word().ljust(8, "a"), lambda: f"{word()}{word()}-{word()}", lambda: f"{word()}.{word()}.{word()}"]
     names = ["key", "AUTH", "Authorization: Bearer", "client_id", "aws", "private", "value", "credential", "x"]
-    texts, places, labels = [], [], np.arange(n) % 2
+    texts, places, labels, kinds = [], [], np.arange(n) % 2, []
     for y in labels:
-        body = str((keys if y else others)[rng.integers(len(keys if y else others))]())
-        body = body if len(body) >= RUN else body + some(digit, RUN - len(body))
+        kind = str(rng.choice(["net", "short", "assign", "access", "hex"], p=[0.55, 0.1, 0.15, 0.1, 0.1]))
+        pool = {"net": keys if y else others, "short": short if y else plain, "assign": keys + short if y else others + plain}.get(kind)
+        if kind == "access":
+            body = "AKIA" + (some(upper + digit, 16) if y else (word() + word() + word()).upper().ljust(12, "X"))
+        elif kind == "hex":
+            body = some("abcdef" + digit, size(32, 64)) if y else (some("abcdef" + digit, size(1, 4)) * 40)[: size(32, 64)]
+        else:
+            body = str(pool[rng.integers(len(pool))]())
+        if kind == "net" and len(body) < RUN:
+            body += some(digit, RUN - len(body))
+        if kind in ("short", "assign") and len(body) < SHORT:
+            body = body.ljust(SHORT, "e")
+        sep = str(rng.choice([" = ", "=", ": ", ":"])) + str(rng.choice(["", '"', "'"]))
         lead = " ".join(word() for _ in range(size(0, 5)))
-        if rng.random() < (0.5 if y else 0.15):
+        before = ""
+        if kind == "assign":
+            before = str(rng.choice(["password", "Passwd", "SECRET", "token", "api_key", "apikey"])) + sep
+        elif kind == "short":
+            lead += f" {rng.choice(['auth_key', 'credential', 'PWD', 'client_auth', 'privateKey'])}{sep}"
+        elif kind == "net" and rng.random() < (0.5 if y else 0.15):
             lead += f" {rng.choice(names)}{rng.choice([' = ', '=', ': ', ' '])}{rng.choice(['', chr(34)])}"
-        elif lead:
-            lead += rng.choice([" ", "\n", " | "])
+        if lead and lead[-1] not in " ='\":":
+            lead += str(rng.choice([" ", "\n", " | "]))
         tail = rng.choice(["", " ", "\n", ". ", '" ']) + " ".join(word() for _ in range(size(0, 4)))
-        texts.append((lead + body + tail).encode())
-        places.append((len(lead.encode()), len(lead.encode()) + len(body.encode())))
-    return texts, places, labels
+        texts.append((lead + before + body + tail).encode())
+        places.append((len(lead.encode()), len((lead + before + body).encode())))
+        kinds.append("net" if kind == "short" else kind)
+    return texts, places, labels, kinds
 
 
 EMBED, FILTERS, WIDTH = 8, 24, 5
@@ -121,7 +181,7 @@ class Network:
         rng = np.random.default_rng(seed)
         w = lambda *s: (rng.standard_normal(s) / np.sqrt(np.prod(s[:-1]))).astype(np.float32)
         self.p = {"E": w(256, EMBED) * 8, "W": w(WIDTH, EMBED + 1, FILTERS), "b": np.zeros(FILTERS, np.float32), "o": w(2 * FILTERS, 1), "c": np.zeros(1, np.float32)}
-        self.slope, self.offset, self.threshold = 1.0, 0.0, 0.5
+        self.slope, self.offset, self.thresholds = 1.0, 0.0, dict.fromkeys(KINDS, 0.5)
 
     def _read(self, x: np.ndarray, mark: np.ndarray):
         p, T = self.p, x.shape[1] - WIDTH + 1
@@ -163,10 +223,38 @@ def arrays(strips: list[tuple[bytes, int, int]]) -> tuple[np.ndarray, np.ndarray
     return x, np.array([(at >= a) & (at < z) for _, a, z in strips], np.float32).reshape(x.shape)
 
 
-def train(texts: list[bytes], places: list[tuple[int, int]], labels: np.ndarray, epochs: int = 12, seed: int = 1) -> Network:
-    """Train on three quarters of the findings; calibrate and set the threshold on the rest."""
+def highest(net: Network, raws: list[bytes], places: list[list[tuple[int, int]]]) -> list[np.ndarray]:
+    """The probability of each place of each text: that of its part with the highest logit."""
+    strips, of = [], []
+    for k, (raw, here) in enumerate((r, a) for r, all_ in zip(raws, places, strict=True) for a in all_):
+        w = windows(raw, *here)
+        strips += w
+        of += [k] * len(w)
+    best = np.full(sum(map(len, places)), -np.inf)
+    for i in range(0, len(strips), 8192):
+        np.maximum.at(best, of[i : i + 8192], net.logits(*arrays(strips[i : i + 8192])))
+    return np.split(net.probability(best), np.cumsum([len(p) for p in places])[:-1]) if places else []
+
+
+def candidates(raw: bytes) -> list[tuple[int, int, str]]:
+    """All candidates of a text, in bytes."""
+    data, offs = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+    found = rule_spans(raw)
+    starts, ends, _, may = runs(data, offs)
+    return found + [(a, z, "net") for a, z in net_candidates(raw, found, list(zip(starts[may].tolist(), ends[may].tolist(), strict=True)))]
+
+
+def found_with(net: Network, texts: list[bytes], places: list[tuple[int, int]], kinds: list[str]) -> np.ndarray:
+    """The probability of each labelled finding by way of its text's candidates: the best one of its kind that overlaps it, 0 if there is none."""
+    of_kind = [[(a, z) for a, z, k in candidates(t) if k == kind and a < place[1] and z > place[0]] for t, place, kind in zip(texts, places, kinds, strict=True)]
+    return np.array([p.max() if len(p) else 0.0 for p in highest(net, texts, of_kind)])
+
+
+def train(texts: list[bytes], places: list[tuple[int, int]], labels: np.ndarray, kinds: list[str], epochs: int = 12, seed: int = 1) -> Network:
+    """Train on three quarters of the findings; calibrate and set the thresholds on the rest."""
     rng, net = np.random.default_rng(seed), Network(seed)
-    x, mark = arrays([windows(t, a, z)[0] for t, (a, z) in zip(texts, places, strict=True)])
+    parts = [windows(t, a, z) for t, (a, z) in zip(texts, places, strict=True)]
+    x, mark = arrays([w[0] for w in parts])
     order = rng.permutation(len(labels))
     cut = len(order) * 3 // 4
     moment, step = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}, 0
@@ -188,7 +276,11 @@ def train(texts: list[bytes], places: list[tuple[int, int]], labels: np.ndarray,
         da, db = np.linalg.solve(H, [((p - y) * z).sum() + (a - 1), (p - y).sum() + b])
         a, b = a - da, b - db
     net.slope, net.offset = float(a), float(b)
-    net.threshold = float(np.quantile(net.probability(z[y == 1]), 1 - RECALL)) if (y == 1).any() else 1.0
+    true = [k for k in held.tolist() if labels[k] == 1]
+    p = found_with(net, *([v[k] for k in true] for v in (texts, places, kinds)))
+    for kind in KINDS:
+        mine = np.sort(p[[kinds[k] == kind for k in true]])
+        net.thresholds[kind] = max(1e-6, float(mine[int((1 - RECALL) * len(mine))])) if len(mine) else 1.0
     return net
 
 
@@ -201,62 +293,59 @@ def default_network() -> Network:
 class Scanner:
     net: Network
 
-    def spans(self, column: pa.Array) -> list[list[tuple[int, int, str]]]:
-        """(start, end, kind) of each text, in code points, by start and then kind."""
-        out: list[list[tuple[int, int, str]]] = []
+    def spans(self, column: pa.Array) -> list[list[tuple[int, int, str, float]]]:
+        """(start, end, kind, probability) of each text, in code points, by start and then kind: rule findings, and net candidates from the threshold on."""
+        out: list[list[tuple[int, int, str, float]]] = []
         for i, j, data, offs in K.pieces(column):
-            starts, ends, text, both = runs(data, offs)
-            lower = K.LOWER[data].tobytes()
-            whole = data.tobytes()
+            starts, ends, text, may = runs(data, offs)
+            lower, whole = K.LOWER[data].tobytes(), data.tobytes()
+            long: dict[int, list[tuple[int, int]]] = {}
+            for a, z, t in zip((starts - offs[text])[may].tolist(), (ends - offs[text])[may].tolist(), text[may].tolist(), strict=True):
+                long.setdefault(t, []).append((a, z))
             busy = set(text.tolist())
-            for w in WORDS:  # every text with such a word is read by the rules
+            for w in (*WORDS, *NAMES):  # every text with such a word is read by the patterns
                 at = lower.find(w)
                 while at >= 0:
                     busy.add(t := int(np.searchsorted(offs[1:], at, "right")))
                     at = lower.find(w, int(offs[t + 1]))
-            found: dict[int, list[tuple[int, int, str]]] = {}
-            raws = {t: whole[offs[t] : offs[t + 1]] for t in busy}
-            strips, of = [], []
-            for t, raw in raws.items():
-                found[t] = rule_spans(raw)
-            for a, z, t in zip((starts[both] - offs[text[both]]).tolist(), (ends[both] - offs[text[both]]).tolist(), text[both].tolist(), strict=True):
-                raw = raws[t]
-                core = raw[a:z]
-                a, z = a + len(core) - len(core.lstrip(b".-_=/+")), z - (len(core) - len(core.rstrip(b".-_/+")))
-                if z - a >= RUN and not any(x < z and a < y for x, y, _ in found[t]):
-                    for s in windows(raw, a, z):
-                        strips.append(s)
-                        of.append((t, a, z))
-            if strips:
-                p = self.net.probability(self.net.logits(*arrays(strips)))
-                for t, a, z in sorted({of[k] for k in np.flatnonzero(p >= self.net.threshold)}):
-                    found[t].append((a, z, "net"))
-            for t in range(j - i):
-                spans = sorted(found.get(t, []), key=lambda s: (s[0], KINDS.index(s[2])))
-                if spans and not (raw := raws[t]).isascii():
-                    spans = [(len(raw[:a].decode("utf-8", "replace")), len(raw[:z].decode("utf-8", "replace")), k) for a, z, k in spans]
-                out.append(spans)
+            texts = sorted(busy)
+            raws = [whole[offs[t] : offs[t + 1]] for t in texts]
+            found = []
+            for t, raw in zip(texts, raws, strict=True):
+                rules = rule_spans(raw)
+                found.append(rules + [(a, z, "net") for a, z in net_candidates(raw, rules, long.get(t, []))])
+            scores = highest(self.net, raws, [[(a, z) for a, z, _ in f] for f in found])
+            here: dict[int, list[tuple[int, int, str, float]]] = {}
+            for t, raw, all_, p in zip(texts, raws, found, scores, strict=True):
+                kept = sorted(((a, z, k, float(q)) for (a, z, k), q in zip(all_, p, strict=True) if k != "net" or q >= self.net.thresholds["net"]), key=lambda s: (s[0], KINDS.index(s[2])))
+                if kept and not raw.isascii():  # code points up to each byte
+                    points = np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))
+                    kept = [(int(points[a]), int(points[z]), k, q) for a, z, k, q in kept]
+                here[t] = kept
+            out += [here.get(t, []) for t in range(j - i)]
         return out
 
 
 def _joined(spans) -> str:
-    return ",".join(f"{k}:{a}:{z}" for a, z, k in spans)
+    return ",".join(f"{k}:{a}:{z}" for a, z, k, _ in spans)
 
 
 def scan(docs: DataFrame, net: Network | None = None) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of ``docs(doc_id, text)``."""
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_confirmed, n_net) of ``docs(doc_id, text)``; n_confirmed: rule findings that the network takes for secrets too."""
     told = docs.sparkSession.sparkContext.broadcast(Scanner(net or default_network()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = told.value.net.thresholds
         for b in batches:
             found = told.value.spans(b.column(1))
             base = [[s for s in f if s[2] != "net"] for f in found]
             counts = [pa.array([sum(s[2] == k for s in f) for f in base], pa.int64()) for k in KINDS[:3]]
             sums = pa.array([hashlib.sha256(_joined(f).encode()).hexdigest() for f in base], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), *counts, sums, pa.array([_joined(f) for f in found], pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+            more = [pa.array([sum(s[3] >= least[s[2]] for s in f) for f in base], pa.int64()), pa.array([len(f) - len(g) for f, g in zip(found, base, strict=True)], pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *counts, sums, pa.array([_joined(f) for f in found], pa.string()), *more], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_confirmed", "n_net"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long, n_net long")
 
 
 def redact(docs: DataFrame, net: Network | None = None, mark: str = "[SECRET]") -> DataFrame:
@@ -265,7 +354,7 @@ def redact(docs: DataFrame, net: Network | None = None, mark: str = "[SECRET]")
 
     def cut(text: str, spans) -> str:
         out, done = [], 0
-        for a, z, _ in spans:
+        for a, z, *_ in spans:
             if z > done:
                 out += [text[done : max(a, done)], mark if a >= done else ""]
                 done = z
