@@ -219,10 +219,8 @@ def _different(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack((both >> 32, both & 0xFFFFFFFF))
 
 
-def _log_odds(held: np.ndarray, label: np.ndarray, keep: np.ndarray) -> np.ndarray:
-    """Of each slot, from pairs (text, slot): the smoothed log odds of label 1, halved, among the texts to ``keep``."""
-    n = np.array([(keep & (label == y)).sum() for y in (0, 1)], f32)
-    count = np.stack([np.bincount(held[1][label[held[0]] == y], minlength=1 << BITS) for y in (0, 1)])
+def _log_odds(count: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of each slot, the smoothed log odds of label 1, halved; ``count``: texts by label that hold it, of ``n``."""
     rate = (count + 0.5 * (n / n.sum())[:, None]) / (n + 0.5)[:, None]
     return np.clip(np.log(rate[1] / rate[0]) / 2, -3, 3).astype(f32)
 
@@ -254,31 +252,53 @@ def calibrated(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, floa
     return max(a, 0.05), b
 
 
-def fit(texts: list[str | None], labels: list[int], ratio: float, epochs: int = 6, seed: int = 10) -> Model:
+def fit(texts: list[str | None], labels: list[int], ratio: float, epochs: int = 5, seed: int = 10) -> Model:
     """``ratio``: the share of label 1 among all labelled rows, to which the scores are calibrated."""
     label = np.array(labels, np.int64)
     if not len(label) or label.min() == label.max():
         p = min(max(float(label.mean()) if len(label) else ratio, 1e-6), 1 - 1e-6)
         return Model([], None, 0.0, float(np.log(p / (1 - p))))
     rng = np.random.default_rng(seed)
-    data, offs = K.buffers(pa.array(texts, pa.string()))
-    doc, word, _, slot, grams = vocabulary(data, offs)
-    at, n, text = windows(doc, len(label))
     out = rng.random(len(label)) < 0.1
     if len(np.unique(label[out])) < 2 or len(np.unique(label[~out])) < 2:
         out[:] = False
-    half = rng.permutation(len(label)) % 2
-    pairs = _different(doc, word)  # texts and words
-    held = [_different(pairs[0], slot[pairs[1]])]
-    for slots, place in grams:
-        found, back = _pick(pairs[1], slots, place)
-        held.append(_different(pairs[0][back], found))
+    kind = np.where(out, 2, rng.permutation(len(label)) % 2)  # the half that a text is in, or 2 if it is held out
+    # a piece of the sample at a time: its vocabulary, and in how many texts of each kind and label a slot is
+    counts = [np.zeros((3, 2, 1 << BITS), np.int32) for _ in SIZES]
+    doc, word, hashes, slot, grams = [], [], [], [], [[] for _ in GRAMS]
+    for i, _, data, offs in K.pieces(pa.array(texts, pa.string())):
+        d, w, h, s, g = vocabulary(data, offs)
+        pairs = _different(d, w)  # texts and words
+        held = [_different(pairs[0], s[pairs[1]])]
+        for slots, place in g:
+            found, back = _pick(pairs[1], slots, place)
+            held.append(_different(pairs[0][back], found))
+        for n, (t, x) in zip(counts, held, strict=True):
+            n += np.bincount((kind[i + t] * 2 + label[i + t]) << BITS | x, minlength=n.size).reshape(n.shape).astype(np.int32)
+        base = sum(map(len, hashes))
+        doc.append((i + d).astype(np.int32))
+        word.append((base + w).astype(np.int32))
+        hashes.append(h)
+        slot.append(s)
+        for all_, (slots, place) in zip(grams, g, strict=True):
+            all_.append((slots, (base + place).astype(np.int32)))
+    hashes, first, same = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    doc, word, slot = np.concatenate(doc), same[np.concatenate(word)].astype(np.int32), np.concatenate(slot)[first]
+    own = np.zeros(len(same), bool)
+    own[first] = True
+    for k, all_ in enumerate(grams):
+        slots, place = (np.concatenate(x) for x in zip(*all_, strict=True))
+        mine = own[place]
+        slots, place = slots[mine], same[place[mine]].astype(np.int32)
+        order = np.argsort(place, kind="stable")
+        grams[k] = slots[order], place[order]
+    at, n, text = windows(doc, len(label))
     tables = [(rng.standard_normal((1 << BITS, size)) * 0.01).astype(f32) for size in SIZES]
-    live = [np.bincount(h[1], minlength=1 << BITS) >= SEEN for h in held]
-    odds = {}  # counted in all texts that are trained on, in those of half 1, of half 0
-    for key, keep in ((None, ~out), (0, ~out & (half == 1)), (1, ~out & (half == 0))):
-        odds[key] = [_log_odds(h[:, keep[h[0]]], label, keep) for h in held]
-    for t, ok, o in zip(tables, live, odds[None], strict=True):
+    live = [c.sum((0, 1)) >= SEEN for c in counts]
+    sizes = np.array([[((kind == h) & (label == y)).sum() for y in (0, 1)] for h in range(3)])
+    # counted in all texts that are trained on, in those of half 1, of half 0
+    odds = {key: [_log_odds(c[list(keep)].sum(0), sizes[list(keep)].sum(0)) for c in counts] for key, keep in ((2, (0, 1)), (0, (1,)), (1, (0,)))}
+    for t, ok, o in zip(tables, live, odds[2], strict=True):
         t *= ok[:, None]
         t[:, 0] = o
     net = Network(INPUTS, seed)
@@ -286,29 +306,26 @@ def fit(texts: list[str | None], labels: list[int], ratio: float, epochs: int =
     adam, deep = {k: _Adam(v, 0.01) for k, v in net.p.items()}, [_Adam(t[:, 1:], 0.003, 1e-3) for t in tables]
     ends = np.cumsum(SIZES)
 
-    def inputs(used: np.ndarray, mine) -> np.ndarray:
-        """Inputs of different words, by half of the text that they are read in, or for a text held out (2)."""
-        x = np.stack([_inputs(tables, slot[used], mine)] * 3)
-        for h in (0, 1):
-            for o, z, size, (slots, place) in zip(odds[h], ends, SIZES, [(slot[used], np.arange(len(used))), *mine], strict=True):
-                x[h, :, z - size] = _largest(o[:, None], slots, place, len(used))[:, 0]
+    def inputs(used: np.ndarray, mine, h: int, x: np.ndarray | None = None) -> np.ndarray:
+        """Inputs of different words in a text of kind ``h``; ``x``: those in a text of kind 2, if they are known."""
+        x = _inputs(tables, slot[used], mine) if x is None else x.copy()
+        for o, z, size, (slots, place) in zip(odds[h], ends, SIZES, [(slot[used], np.arange(len(used))), *mine], strict=True):
+            x[:, z - size] = _largest(o[:, None], slots, place, len(used))[:, 0]
         return x
 
-    kind = np.where(out, 2, half)
-
     def worst(first: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """The worst window of each text that has one, and the logits of all windows; at first by the sum of the log odds."""
-        x = inputs(np.arange(len(slot)), grams)
-        if first:
-            sums = np.concatenate(([0], np.cumsum(x[kind[doc], word][:, ends - SIZES].sum(1), dtype=np.float64)))
-            logit = sums[at + n] - sums[at]
-        else:
-            logit = np.zeros(len(at), f32)
-            for h in range(3):
-                mine = np.flatnonzero(kind[text] == h)
-                for k in range(0, len(mine), 2048):
-                    part = mine[k : k + 2048]
-                    logit[part] = net.forward(*gather(x[h], at[part], n[part], word))
+        logit = np.zeros(len(at), f32)
+        for h in range(3):
+            mine = np.flatnonzero(kind[text] == h)
+            x = inputs(np.arange(len(slot)), grams, h)
+            if first:
+                sums = np.concatenate(([0], np.cumsum(x[:, ends - SIZES].sum(1)[word], dtype=np.float64)))
+                logit[mine] = (sums[at + n] - sums[at])[mine]
+                continue
+            for k in range(0, len(mine), 2048):
+                part = mine[k : k + 2048]
+                logit[part] = net.forward(*gather(x, at[part], n[part], word))
         order = np.lexsort((logit, text))
         return order[np.flatnonzero(np.append(text[order][1:] != text[order][:-1], True))] if len(order) else order, logit
 
@@ -317,9 +334,10 @@ def fit(texts: list[str | None], labels: list[int], ratio: float, epochs: int =
         mask = steps[:, None] < n[part][None, :]
         used, back = np.unique(word[np.where(mask, at[part][None, :] + steps[:, None], 0)[mask]], return_inverse=True)
         mine = [_pick(used, *g) for g in grams]
-        x = inputs(used, mine)
+        x = _inputs(tables, slot[used], mine)
         full = np.zeros((*mask.shape, INPUTS), f32)
-        full[mask] = x[np.broadcast_to(kind[text[part]], mask.shape)[mask], back]
+        of = kind[text[part]][np.nonzero(mask)[1]]
+        full[mask] = np.where((of == 0)[:, None], inputs(used, mine, 0, x)[back], inputs(used, mine, 1, x)[back])
         logit, kept = net.forward(full, mask.astype(f32), True)
         p = 1 / (1 + np.exp(-logit))
         grads, din = net.backward(full, mask.astype(f32), kept, ((p - label[text[part]]) * weight[text[part]] / len(part)).astype(f32))
@@ -332,7 +350,7 @@ def fit(texts: list[str | None], labels: list[int], ratio: float, epochs: int =
             g, slots = dx[:, z - size + 1 : z], slot[used]
             if t:  # to the n-grams whose values were the largest
                 slots, place = mine[t - 1]
-                g = g[place] * (tables[t][slots, 1:] == x[2, place, z - size + 1 : z])
+                g = g[place] * (tables[t][slots, 1:] == x[place, z - size + 1 : z])
             rows, row = np.unique(slots, return_inverse=True)
             total = np.stack([np.bincount(row, g[:, k], len(rows)) for k in range(size - 1)], 1).astype(f32)
             deep[t].step(total[live[t][rows]], rows[live[t][rows]])
