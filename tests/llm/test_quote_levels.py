@@ -13,6 +13,5 @@ TALK = [
 
 def test_first_level_decides(spark):
     df = spark.createDataFrame(TALK, SCHEMA)
-    told = lambda **k: {r["turn"]: (r["parent_turn"], r["by"], r["depth"]) for r in quotes.linked(df, **k).collect()}
-    assert told()[2] == (0, "quote", 1)  # all levels together, as the SQL of op4_quotes has it
-    assert told(by_level=True) == {0: (None, None, 0), 1: (0, "quote", 1), 2: (1, "quote", 2), 3: (0, "quote", 1)}
+    told = {r["turn"]: (r["parent_turn"], r["by"], r["depth"]) for r in quotes.linked(df).collect()}
+    assert told == {0: (None, None, 0), 1: (0, "quote", 1), 2: (1, "quote", 2), 3: (0, "quote", 1)}

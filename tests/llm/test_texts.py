@@ -188,20 +188,52 @@ def test_quotes(spark):
     rows = {(r["conv_id"], r["turn"], r["role"]): r for r in got.collect()}
     parent = lambda *k: (rows[k]["parent_conv"], rows[k]["parent_turn"], rows[k]["by"], rows[k]["depth"])
     assert parent(1, 1, "a") == (1, 0, "quote", 1) and rows[1, 1, "a"]["own_text"] == "Sure."
-    assert parent(1, 2, "u") == (1, 0, "quote", 1) and rows[1, 2, "u"]["n_quotes"] == 2 and rows[1, 2, "u"]["deepest"] == 2
-    assert parent(1, 3, "a") == (1, 2, "turn", 2)
-    assert parent(2, 0, "u") == (1, 0, "quote", 1) and parent(2, 2, "u") == (None, None, None, 0)
+    assert parent(1, 2, "u") == (1, 1, "quote", 2) and rows[1, 2, "u"]["n_quotes"] == 2 and rows[1, 2, "u"]["deepest"] == 2
+    assert parent(1, 3, "a") == (1, 2, "turn", 3)
+    assert parent(2, 0, "u") == (1, 0, "quote", 1) and parent(2, 2, "u") == (2, 0, "turn", 2)  # a turn is missing
     assert parent(3, 0, "u") == (None, None, None, 0) and rows[3, 0, "u"]["copies"] == 2
     assert parent(0, 0, "u") == (None, None, None, 0)  # what it quotes comes later
     assert parent(5, 1, "u") == (5, 0, "quote", 1)
-    assert rows[None, 1, "u"]["depth"] is None
+    assert rows[None, 1, "u"]["depth"] is None and rows[None, 1, "u"]["position"] is None
+    assert [rows[k]["position"] for k in ((1, 0, "u"), (1, 1, "a"), (1, 2, "u"), (1, 3, "a"), (2, 0, "u"), (2, 2, "u"))] == list(range(6))
+    read = [(r["conv_id"], r["turn"], r["own_text"]) for r in quotes.conversations(df).collect() if (r["root_conv"], r["root_turn"]) == (1, 0)]
+    assert read == [(1, 0, "Hello   there\nSecond line"), (1, 1, "Sure."), (1, 2, "Thanks"), (1, 3, ""), (2, 0, "what of this?"), (2, 2, "no turn before")]
     same(got.where("conv_id is not null and turn is not null").toPandas(), duck(quotes.SQL["op4_quotes"], conversations=df.where("conv_id is not null and turn is not null")))
     assert quotes.linked(df.where("false")).collect() == []
 
 
 def test_long_threads(spark):
     df = spark.createDataFrame([(1, i, "u", f"m{i}") for i in range(150)], "conv_id long, turn long, role string, text string")
-    assert sorted((r["turn"], r["depth"], r["root_turn"]) for r in quotes.linked(df).collect()) == [(i, i, 0) for i in range(150)]
+    assert sorted((r["turn"], r["depth"], r["root_turn"], r["position"]) for r in quotes.linked(df).collect()) == [(i, i, 0, i) for i in range(150)]
+
+
+def test_order_of_replies_in_random_trees(spark, monkeypatch):
+    """Clashing columns, gaps between turns, ties of votes, a very long text, and trees of any shape, against a walk by hand."""
+    monkeypatch.setattr(quotes, "SPAN", 3)
+    rng, rows = random.Random(9), []
+    for c in range(6):
+        turn = 0
+        for k in range(25):
+            turn += rng.choice([1, 1, 2, 5])
+            earlier = [r for r in rows if r[0] <= c]
+            text = f"unique words {c} {turn}" + (" and many more" * 20_000 if k == 3 else "")
+            for _ in range(rng.choice([0, 0, 1, 1, 2])):  # quotes of one or two messages, each as long as the other
+                if earlier:
+                    q = rng.choice(earlier)
+                    text = f"> unique words {q[0]} {q[1]}" + (" and many more" * 20_000 if len(q[3]) > 9999 else "") + "\n" + text
+            rows.append((c, turn, "u", text, "x", 1))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, position string, depth int")
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.linked(df).collect()}
+    same(quotes.linked(df).toPandas(), duck(quotes.SQL["op4_quotes"], conversations=df))
+    kids: dict = {}
+    for k, r in sorted(got.items()):
+        kids.setdefault((r["parent_conv"], r["parent_turn"]), []).append(k)
+    for root in kids[None, None]:
+        order, todo = [], [root]
+        while todo:
+            order.append(todo.pop())
+            todo += reversed(kids.get(order[-1], []))
+        assert [got[k]["position"] for k in order] == list(range(len(order))) and {(got[k]["root_conv"], got[k]["root_turn"]) for k in order} == {root}
 
 
 @pytest.fixture(scope="module")
