@@ -1,11 +1,13 @@
 """Language-model scores by deleted interpolation (operator 3).
 
-The probability of a token after its context mixes three estimates: the maximum likelihood of the pair, that of the
-token alone, and the uniform distribution over known tokens and one unknown. The weights depend on the bucket of the
-context's frequency and are learned by expectation-maximisation on held-out counts: on a tenth of the training texts,
-whose own counts are deleted from the corpus counts first.
-
-Keys go up, counts come down. A block is a part of one input split. Each block counts its different tokens and pairs,
+The probability of a token after the two before it mixes four estimates: the maximum likelihood of the triple, that of the
+pair, that of the token alone, and the uniform distribution over known tokens and one unknown. The weights depend on the
+bucket of the context's frequency: that of the two tokens before, or, if they were never seen together, of the one before.
+They are learned by expectation-maximisation on held-out counts: on a tenth of the training texts,
+whose own counts are deleted from the corpus counts first. There, estimates are taken to steps of a log scale, so that what
+is learned from is a histogram of a bounded size.
+
+Keys go up, counts come down. A block is a part of one input split. Each block counts its different tokens, pairs and triples,
 as sorted 64-bit keys; ranges of keys meet in one place, where the counts of all blocks are summed; each block gets
 the totals of its keys back in their order. The block's texts are then read again, their keys are found again, and
 every token has its counts at hand. What moves are packed differences of sorted keys, and the texts once.
@@ -31,8 +33,10 @@ from . import textkit as K
 
 #: Parts of an input split: texts to learn from or to score, by a hash, and, last, those that the weights are learned on.
 PARTS = 5
-BUCKETS, FINE = 25, 3  # context buckets; steps an octave in the histogram of probabilities
-PAIR_BITS = 56
+BUCKETS = 25  # of a context's frequency, for pairs and again for single tokens
+FINE, STEPS = (2, 2, 2), (32, 48, 96)  # steps an octave, and their number, of triples, pairs and tokens
+PAIR_BITS, WORD_BITS = 56, 62
+KINDS = (1, 2, 3)
 START = K.U64(0x8000000000000001)
 END = K.U64(0xC000000000000003)
 
@@ -47,9 +51,9 @@ def _unpack(b: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
 
 
-def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of all tokens, of all pairs (context, token), and the text of each token; every text ends with END."""
-    words, pairs, docs = [], [], []
+def tokens(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """Keys of all tokens, of all pairs with the token before, of all triples, and the text of each token; every text ends with END, and two START stand before it."""
+    kinds, docs = ([], [], []), []
     with np.errstate(over="ignore"):
         for i, j, data, offs in K.pieces(column):
             starts, ends, doc = K.find_words(data, offs)
@@ -59,20 +63,26 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             w = np.empty(len(h) + (j - i), K.U64)
             w[stop] = END
             w[np.arange(len(h)) + doc] = h
+            first = np.concatenate(([0], stop[:-1] + 1))
             before = np.empty_like(w)
             before[1:] = w[:-1]
-            before[np.concatenate(([0], stop[:-1] + 1))] = START
-            words.append(w)
-            pairs.append(K.mix(before * K.U64(0x9E3779B97F4A7C15) + w) >> K.U64(64 - PAIR_BITS))
+            before[first] = START
+            pair = K.mix(before * K.U64(0x9E3779B97F4A7C15) + w)
+            past = np.empty_like(w)
+            past[1:] = pair[:-1]
+            past[first] = START
+            kinds[0].append(w >> K.U64(64 - WORD_BITS))
+            kinds[1].append(pair >> K.U64(64 - PAIR_BITS))
+            kinds[2].append(K.mix(past * K.U64(0xD6E8FEB86659FD93) + w) >> K.U64(64 - PAIR_BITS))
             docs.append(np.repeat(np.arange(i, j), n + 1))
-    if not words:
-        return np.zeros(0, K.U64), np.zeros(0, K.U64), np.zeros(0, np.int64)
-    return np.concatenate(words), np.concatenate(pairs), np.concatenate(docs)
+    if not docs:
+        return [np.zeros(0, K.U64)] * 3, np.zeros(0, np.int64)
+    return [np.concatenate(k) for k in kinds], np.concatenate(docs)
 
 
 def _cuts(keys: np.ndarray, kind: int, parts: int) -> np.ndarray:
     """Where sorted keys change their range of keys."""
-    edges = np.arange(1, parts, dtype=K.U64) << K.U64((64 if kind == 1 else PAIR_BITS) - (parts.bit_length() - 1))
+    edges = np.arange(1, parts, dtype=K.U64) << K.U64((WORD_BITS if kind == 1 else PAIR_BITS) - (parts.bit_length() - 1))
     return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
 
 
@@ -84,20 +94,20 @@ def _up(parts: int):
         held: dict[int, list] = {}
         for b in batches:
             part, train = b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
-            w, p, doc = tokens(b.column(0))
-            if not len(w):
+            keys, doc = tokens(b.column(0))
+            if not len(doc):
                 continue
-            of, learn = part[doc], train[doc]
+            of, learn = part[doc], train[doc].astype(K.U64)
             for k in np.unique(part):
                 m = of == k
-                held.setdefault(int(k), []).append((w[m], p[m], learn[m]))
+                held.setdefault(int(k), []).append([x[m] << K.U64(1) | learn[m] for x in keys])  # whether it is learned from, in the last bit
         for k in sorted(held):
-            w, p, learn = (np.concatenate(x) for x in zip(*held.pop(k), strict=True))
-            for kind, x in ((1, w), (2, p)):
-                keys = np.unique(x)
-                own, n = np.unique(x[learn], return_counts=True)
-                counts = np.zeros(len(keys), np.uint32)
-                counts[np.searchsorted(keys, own)] = n
+            for kind, x in zip(KINDS, [np.concatenate(x) for x in zip(*held.pop(k), strict=True)], strict=True):
+                x.sort()
+                learn = (x & K.U64(1)).astype(np.int64)
+                x >>= K.U64(1)
+                new = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+                keys, counts = x[new], np.add.reduceat(learn, new).astype(np.uint32)
                 cut = _cuts(keys, kind, parts)
                 rows = [(r, a, z) for r, (a, z) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if z > a]
                 yield pa.RecordBatch.from_arrays(
@@ -114,15 +124,15 @@ def _up(parts: int):
 def _meet(t: pa.Table) -> pa.Table:
     """All blocks' keys of one range: their totals, in each block's order; block -1 has the tokens and different tokens."""
     keys = [np.cumsum(_unpack(k.as_buffer(), K.U64), dtype=K.U64) for k in t.column("keys")]
-    all_, n = np.concatenate(keys), np.concatenate([_unpack(c.as_buffer(), np.uint32) for c in t.column("counts")]).astype(np.float64)
+    all_, n = np.concatenate(keys), np.concatenate([_unpack(c.as_buffer(), np.uint32) for c in t.column("counts")]).astype(np.int64)
     order = np.argsort(all_, kind="stable")
     ranked = all_[order]
     new = np.append(True, ranked[1:] != ranked[:-1])
     total = np.add.reduceat(n[order], np.flatnonzero(new))
-    back = np.empty(len(all_), np.float64)
+    back = np.empty(len(all_), np.int64)
     back[order] = total[np.cumsum(new) - 1]
     ends = np.cumsum([len(k) for k in keys])
-    down = [_pack(np.minimum(x, 2**32 - 1).astype(np.uint32)) for x in np.split(back, ends[:-1])]
+    down = [_pack(x) for x in np.split(back, ends[:-1])]  # of eight bytes: planes of zeros cost nothing
     kind, range_ = t.column("kind")[0].as_py(), t.column("range")[0].as_py()
     m = len(keys) + 1
     return pa.table(
@@ -133,38 +143,55 @@ def _meet(t: pa.Table) -> pa.Table:
     )
 
 
+def _shifted(x: np.ndarray, first: np.ndarray, at_start) -> np.ndarray:
+    """What stands one place before, in the same text."""
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    out[first] = at_start
+    return out
+
+
 def _counted(texts: pa.Table, totals: pa.Table):
-    """Of a block: (text of each token, index of its key, of its pair, and the corpus counts of token, context and pair)."""
-    w, p, doc = tokens(texts.column("text"))
-    out = []
-    for kind, x in ((1, w), (2, p)):
-        keys = np.unique(x)
+    """Of a block: the text of each token; the indices of its token, pair and triple, and of their contexts; and the corpus counts of these.
+
+    A START is as frequent as an END, and so are two.
+    """
+    keys, doc = tokens(texts.column("text"))
+    index, count = [], []
+    for kind, x in zip(KINDS, keys, strict=True):
+        found, at = np.unique(x, return_inverse=True)
         rows = sorted((r, c) for k, r, c in zip(totals.column("kind").to_pylist(), totals.column("range").to_pylist(), totals.column("totals"), strict=True) if k == kind)
-        c = np.concatenate([np.zeros(0, np.uint32), *(_unpack(v.as_buffer(), np.uint32) for _, v in rows)]).astype(np.float64)
-        if len(c) != len(keys):
+        c = np.concatenate([np.zeros(0, np.int64), *(_unpack(v.as_buffer(), np.int64) for _, v in rows)])
+        if len(c) != len(found):
             raise RuntimeError("a block's keys are not those that were counted; the input's partitions have changed")
-        at = np.searchsorted(keys, x)
-        out.append((at, c[at]))
-    (iw, cw), (ip, cp) = out
+        index.append(at)
+        count.append(c[at].astype(np.float64))
     first = np.append(True, doc[1:] != doc[:-1])
-    before = np.empty_like(iw)
-    before[1:] = iw[:-1]
-    end = iw[np.flatnonzero(np.append(first[1:], True))][0]  # a start is as frequent as an end
-    before[first] = end
-    ch = np.empty_like(cw)
-    ch[1:] = cw[:-1]
-    ch[first] = cw[np.flatnonzero(np.append(first[1:], True))][0]
-    return doc, iw, before, ip, cw, ch, cp
+    end = np.flatnonzero(np.append(first[1:], True))[0]
+    # the context of two START is kept apart from the pairs by an index of its own
+    context = [_shifted(index[0], first, index[0][end]), _shifted(index[1], first, -1)]
+    often = [_shifted(c, first, count[0][end]) for c in count[:2]]
+    return doc, index, context, count, often, first
 
 
-def _bucket(c: np.ndarray) -> np.ndarray:
+def _log2(c: np.ndarray) -> np.ndarray:
     return np.minimum(BUCKETS - 1, np.ceil(np.log2(c + 1))).astype(np.int64)
 
 
-def _step(p: np.ndarray) -> np.ndarray:
-    """-1 for 0, else the probability's step on a log scale, from 0 for 1."""
+def _bucket(often: list[np.ndarray]) -> np.ndarray:
+    """Of contexts' counts: BUCKETS and more for two tokens that were seen together, else that of the one before."""
+    return np.where(often[1] > 0, BUCKETS + _log2(often[1]), _log2(often[0]))
+
+
+def _step(p: np.ndarray, kind: int) -> np.ndarray:
+    """0 for 0, else 1 and the probability's step on a log scale."""
     with np.errstate(divide="ignore"):
-        return np.where(p > 0, np.minimum(255, np.round(-FINE * np.log2(np.maximum(p, 1e-300)))), -1).astype(np.int64)
+        return np.where(p > 0, 1 + np.minimum(STEPS[kind] - 1, np.round(-FINE[kind] * np.log2(np.maximum(p, 1e-300)))), 0).astype(np.int64)
+
+
+def _estimates(count: list[np.ndarray], often: list[np.ndarray], n_all) -> list[np.ndarray]:
+    """Maximum likelihood of triple, pair and token."""
+    return [np.where(often[1] > 0, count[2] / np.maximum(often[1], 1), 0), np.where(often[0] > 0, count[1] / np.maximum(often[0], 1), 0), count[0] / np.maximum(n_all, 1)]
 
 
 def _own(doc: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -177,34 +204,45 @@ def _own(doc: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 
 def _deleted(n_all: float):
-    """The histogram of (context bucket, step of the pair's estimate, step of the token's) over a block, own counts deleted."""
+    """The histogram of (context bucket, steps of the three estimates) over a block, own counts deleted."""
 
     def run(texts: pa.Table, totals: pa.Table) -> pa.Table:
         if not len(texts):
             return pa.table({"cell": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        doc, iw, ih, ip, cw, ch, cp = _counted(texts, totals)
+        doc, index, context, count, often, first = _counted(texts, totals)
         size = np.bincount(doc)[doc]
-        cw, ch, cp = cw - _own(doc, iw, iw), ch - _own(doc, iw, ih), cp - _own(doc, ip, ip)
-        p2, p1 = np.where(ch > 0, cp / np.maximum(ch, 1), 0), cw / np.maximum(n_all - size, 1)
-        cell, n = np.unique((_bucket(ch) * 257 + _step(p2) + 1) * 257 + _step(p1) + 1, return_counts=True)
+        count = [c - _own(doc, i, i) for c, i in zip(count, index, strict=True)]
+        # a text has one START, and two of them once
+        own = [_own(doc, index[0], context[0]), np.where(first, 1, _own(doc, index[1], np.where(first, 0, context[1])))]
+        often = [c - o for c, o in zip(often, own, strict=True)]
+        cell = _bucket(often)
+        for kind, p in enumerate(_estimates(count, often, n_all - size)):
+            cell = cell * (STEPS[kind] + 1) + _step(p, kind)
+        cell, n = np.unique(cell, return_counts=True)
         return pa.table({"cell": pa.array(cell, pa.int64()), "n": pa.array(n, pa.int64())})
 
     return run
 
 
 def weights(cell: np.ndarray, n: np.ndarray, unknown: float, rounds: int = 60) -> np.ndarray:
-    """(BUCKETS, 3): weights of pair, token and uniform estimate by context bucket, by expectation-maximisation."""
-    b, s2, s1 = cell // (257 * 257), cell // 257 % 257 - 1, cell % 257 - 1
-    p = np.stack([np.where(s2 < 0, 0, 2.0 ** (-s2 / FINE)), np.where(s1 < 0, 0, 2.0 ** (-s1 / FINE)), np.full(len(b), unknown)], 1)
-    out = np.full((BUCKETS, 3), 1 / 3)
-    prior = np.array([0.5, 1.0, 0.5])  # keeps every weight above 0 where little is held out
+    """(2 * BUCKETS, 4): weights of triple, pair, token and uniform estimate by context bucket, by expectation-maximisation."""
+    p = [np.full(len(cell), unknown)]
+    for kind in (2, 1, 0):
+        cell, s = np.divmod(cell, STEPS[kind] + 1)
+        p.insert(0, np.where(s == 0, 0, 2.0 ** (-(s - 1) / FINE[kind])))
+    p, b = np.stack(p, 1), cell
+    out = np.full((2 * BUCKETS, 4), 1 / 4)
+    prior = np.array([0.5, 0.5, 1.0, 0.5])  # keeps every weight above 0 where little is held out
     for _ in range(rounds):
         share = out[b] * p
         share *= (n / share.sum(1))[:, None]
-        for k in range(3):
-            out[:, k] = np.bincount(b, share[:, k], BUCKETS) + prior[k]
+        for k in range(4):
+            out[:, k] = np.bincount(b, share[:, k], 2 * BUCKETS) + prior[k]
         out /= out.sum(1, keepdims=True)
-    out[0] = [0, out[0, 1] + out[0, 0], out[0, 2]]  # a context never seen has no pairs
+    # contexts never seen have no triples, or no pairs; what these would take goes to the next estimate
+    out[:BUCKETS, 1] += out[:BUCKETS, 0]
+    out[:BUCKETS, 0] = 0
+    out[0] = [0, 0, out[0, 1] + out[0, 2], out[0, 3]]
     return out
 
 
@@ -214,9 +252,10 @@ def _scored(n_all: float, v_all: float, mix: np.ndarray):
         m = len(ids)
         if not m:
             return pa.table({"doc_id": ids, "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
-        doc, _, _, _, cw, ch, cp = _counted(texts, totals)
-        w = mix[_bucket(ch)]
-        p = w[:, 0] * cp / np.maximum(ch, 1) + w[:, 1] * cw / max(n_all, 1) + w[:, 2] / (v_all + 1)
+        doc, _, _, count, often, _ = _counted(texts, totals)
+        w = mix[_bucket(often)]
+        p = w[:, 3] / (v_all + 1) + sum(w[:, k] * e for k, e in enumerate(_estimates(count, often, n_all)))
+        cw = count[0]
         base = np.log10((cw + 0.1) / (n_all + 0.1 * (v_all + 1)))
         add = lambda x: np.bincount(doc, x, m)
         return pa.table({"doc_id": ids, "n_tokens": pa.array(np.bincount(doc, minlength=m), pa.int64()), "n_known": pa.array(add(cw > 0).astype(np.int64)), "base_score": pa.array(add(base)), "score": pa.array(add(np.log10(p)))})
@@ -232,7 +271,7 @@ def interpolated_scores(docs: DataFrame) -> DataFrame:
     part = F.when(F.col("crc") % 10 == 1, F.lit(PARTS - 1)).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(PARTS - 1)).cast("int"))
     rows = rows.withColumn("part", part.cast("int")).withColumn("block", (F.spark_partition_id() * PARTS + F.col("part")).cast("long"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = 1 << int(np.clip(np.ceil(np.log2(size / 8e6 + 1)), 6, 13))
+    ranges = 1 << max(6, int(np.ceil(np.log2(size / 8e6 + 1))))  # as many as the input needs, so that a range stays small
     up = rows.select("text", "part", "train").mapInArrow(_up(ranges), "block long, kind int, range int, keys binary, counts binary")
     down = stage(up.groupBy("kind", "range").applyInArrow(_meet, "block long, kind int, range int, totals binary, tokens long, different long"))
     n_all, v_all = down.where("block = -1 and kind = 1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("different"), F.lit(0))).first()

@@ -146,34 +146,111 @@ def test_repeated_rows_and_null_ids(spark):
 
 
 def test_prefixes_bound_every_link():
+    """Of sets that link, the longer prefixes in one order share as much as the sieve asks, and they meet in a band."""
+    rng = np.random.default_rng(0)
     for n in range(1, 200):
-        least = -(-n * 80 // 100)  # members shared with any set that links
-        assert shingles.prefix_length(n) == n - least + 1
-        bands = shingles._bands(n)
-        assert all(set(bands) & set(shingles._bands(m)) for m in range(n, n * 100 // 80 + 1))
+        for m in range(n, n * 100 // 80 + 1):
+            assert set(shingles.bands(n)) & set(shingles.bands(m))
+            both = -(-80 * (n + m) // 180)
+            if both > n:
+                continue
+            a, b = np.arange(n), np.concatenate((np.arange(both), np.arange(1000, 1000 + m - both)))
+            order = rng.permutation(2000)
+            a, b = a[np.argsort(order[a])], b[np.argsort(order[b])]
+            head = lambda x: set(x[: len(x) - shingles.least_shared(len(x)) + shingles.spare(len(x))].tolist())
+            shared = len(head(a) & head(b))
+            for x in (n, m):
+                assert shared >= max(1, shingles.least_shared(x) // shingles.MORE)
+
+
+def plain_scores(rows):
+    """Counts, weights and scores by dictionaries; the weights by the same rounds of expectation-maximisation."""
+    I = interpolation
+    texts = [(r.doc_id, ["<s>", "<s>", *WORD.findall(lower(r.text)), None]) for r in rows]
+    crc = lambda d: zlib.crc32(str(d).encode()) % 10
+
+    def count(some):
+        c = Counter()
+        for t in some:
+            c["one",] += 0
+            for i in range(2, len(t)):
+                c[t[i],] += 1
+                c[t[i - 1], t[i]] += 1
+                c[t[i - 2], t[i - 1], t[i]] += 1
+            c["<s>",] += 1
+            c["<s>", "<s>"] += 1
+        return c
+
+    c = count(t for d, t in texts if crc(d))
+    n, v = sum(len(t) - 2 for d, t in texts if crc(d)), sum(1 for k in c if len(k) == 1 and k != ("<s>",) and c[k])
+
+    def parts(c, t, i, n):
+        often = c[t[i - 1],], c[t[i - 2], t[i - 1]]
+        b = I.BUCKETS + min(I.BUCKETS - 1, math.ceil(math.log2(often[1] + 1))) if often[1] else min(I.BUCKETS - 1, math.ceil(math.log2(often[0] + 1)))
+        return b, [c[tuple(t[i - 2 : i + 1])] / often[1] if often[1] else 0, c[t[i - 1], t[i]] / often[0] if often[0] else 0, c[t[i],] / max(n, 1)]
+
+    seen = []
+    for d, t in texts:
+        if crc(d) == 1:
+            less = c.copy()
+            less.subtract(count([t]))
+            for i in range(2, len(t)):
+                b, p = parts(less, t, i, n - len(t) + 2)
+                seen.append((b, [2.0 ** (-min(I.STEPS[k] - 1, round(-I.FINE[k] * math.log2(x))) / I.FINE[k]) if x else 0 for k, x in enumerate(p)] + [1 / (v + 1)]))
+    w = np.full((2 * I.BUCKETS, 4), 0.25)
+    for _ in range(60):
+        new = np.tile([0.5, 0.5, 1.0, 0.5], (2 * I.BUCKETS, 1))
+        for b, p in seen:
+            share = w[b] * p
+            new[b] += share / share.sum()
+        w = new / new.sum(1, keepdims=True)
+    for b in range(I.BUCKETS):
+        w[b] = [0, w[b, 0] + w[b, 1], w[b, 2], w[b, 3]]
+    w[0] = [0, 0, w[0, 1] + w[0, 2], w[0, 3]]
+    out = {}
+    for d, t in texts:
+        base = score = 0.0
+        for i in range(2, len(t)):
+            b, p = parts(c, t, i, n)
+            score += math.log10(sum(x * y for x, y in zip(w[b], [*p, 1 / (v + 1)], strict=True)))
+            base += math.log10((c[t[i],] + 0.1) / (n + 0.1 * (v + 1)))
+        out[d] = (crc(d) == 0, len(t) - 2, sum(c[x,] > 0 for x in t[2:]), n, base, score)
+    return out
 
 
 def test_scores(docs, rows):
-    counts, tokens = Counter(), {r.doc_id: [*WORD.findall(lower(r.text)), None] for r in rows}
-    for d, t in tokens.items():
-        if zlib.crc32(str(d).encode()) % 10:
-            counts.update(t)
-    n, v = sum(counts.values()), len(counts)
-    got = {r["doc_id"]: r for r in interpolation.interpolated_scores(docs.select("doc_id", "text")).collect()}
-    assert got.keys() == tokens.keys()
-    for d, t in tokens.items():
+    """Against dictionaries, on whole texts; with clashing names."""
+    want = plain_scores(rows)
+    got = {r["doc_id"]: r for r in interpolation.interpolated_scores(docs).collect()}
+    assert got.keys() == want.keys() and {w[0] for w in want.values()} == {True, False}
+    for d, (held, size, known, n, base, score) in want.items():
         r = got[d]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (zlib.crc32(str(d).encode()) % 10 == 0, len(t), sum(counts[w] > 0 for w in t), n)
-        assert math.isclose(r["base_score"], sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), rel_tol=1e-9)
-        assert -300 * len(t) < r["score"] < 0
-    base, score = (sum(r[c] for r in got.values()) for c in ("base_score", "score"))
-    assert score > base
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held, size, known, n)
+        assert math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isclose(r["score"], score, rel_tol=1e-9)
+    assert sum(r["score"] for r in got.values()) > sum(r["base_score"] for r in got.values())
 
 
-def test_scores_sum_to_one():
+def test_repeated_rows_are_scored_alike(spark, tmp_path):
+    rows = [(d, "a b a b c") for d in (1, 2, 2, 3, None)] + [(d, f"a b {d}") for d in range(10, 40)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "d"))
+    got = interpolation.interpolated_scores(spark.read.parquet(str(tmp_path / "d"))).collect()
+    assert len(got) == len(rows) and len({round(r["score"], 9) for r in got if r["n_tokens"] == 6}) == 1
+    assert sum(r["n_tokens"] for r in got if zlib.crc32(str(r["doc_id"]).encode()) % 10 and r["doc_id"] is not None) == got[0]["train_tokens"]
+
+
+def test_totals_above_32_bits():
+    big = 2**31
+    t = pa.table({"block": [0, 1, 2], "kind": [1] * 3, "range": [0] * 3, "keys": [interpolation._pack(np.array([7], np.uint64))] * 3, "counts": [interpolation._pack(np.array([big], np.uint32))] * 3})
+    down = interpolation._meet(t)
+    assert [interpolation._unpack(x.as_buffer(), np.int64).tolist() for x in down.column("totals")][:3] == [[3 * big]] * 3 and down.column("tokens").to_pylist()[-1] == 3 * big
+
+
+def test_weights_make_distributions():
     """The mix over all tokens, known and unknown, is a distribution for every context bucket that has been seen."""
-    mix = interpolation.weights(np.array([(3 * 257 + 4) * 257 + 10, (0 * 257) * 257 + 20]), np.array([5.0, 2.0]), 0.01)
-    assert np.allclose(mix.sum(1), 1) and (mix >= 0).all() and mix[0, 0] == 0
+    s = interpolation.STEPS
+    cell = lambda b, *steps: ((b * (s[0] + 1) + steps[0]) * (s[1] + 1) + steps[1]) * (s[2] + 1) + steps[2]
+    mix = interpolation.weights(np.array([cell(3, 0, 4, 10), cell(0, 0, 0, 20), cell(interpolation.BUCKETS + 2, 3, 5, 9)]), np.array([5.0, 2.0, 3.0]), 0.01)
+    assert np.allclose(mix.sum(1), 1) and (mix >= 0).all() and not mix[0, :2].any() and not mix[: interpolation.BUCKETS, 0].any()
 
 
 def test_scores_of_nothing(empty, spark):
