@@ -1,9 +1,10 @@
 """Mixing sources to target weights (operator 5).
 
 The words of a source's documents, in a pseudorandom order, form one stream that is packed into blocks of fixed
-length. Each output shard draws how many of its slots go to which source: a multinomial draw whose certain part is
-taken out first and whose error is carried to the next shard, so that a source's total stays within a few blocks of
-its target. A source's slots are numbered through all shards; slot g stands for pass ``g div blocks`` and for the
+length. Each output shard draws how many of its slots go to which source: a multinomial draw over GROUP sources at a time,
+whose certain part is taken out first and whose error is carried to the next shard, so that a source's total stays within a few
+blocks of its target. Sources are rows of a table, however many they are; targets are found by filling up: a share for each
+unit of weight that grows until what full sources leave over is spent. A source's slots are numbered through all shards; slot g stands for pass ``g div blocks`` and for the
 block to which that pass's pseudorandom permutation of the block numbers (swap-or-not rounds, a bijection for any
 count) maps ``g mod blocks``. Slots are then joined to blocks by index, and blocks to the documents they were cut
 from. Since no source is drawn for more than two passes, no block and no document is used more than twice.
@@ -20,9 +21,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..plans.offsets import running_totals
 from ..plans.staging import stage
@@ -30,32 +30,44 @@ from ..plans.staging import stage
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 64
 ROUNDS = 8
-#: The per-source figures are kept by the driver.
-MOST_SOURCES = 100_000
+#: Sources whose slots are drawn together, in one task.
+GROUP = 10_000
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: list[int], weights: list[float], share: float = 1.5, most: float = 2.0) -> list[float]:
-    """Split ``share`` of all sizes by weight; what would be above ``most`` times a source's size goes to the others."""
-    out, left, open_ = [0.0] * len(sizes), share * sum(sizes), [i for i, s in enumerate(sizes) if s > 0]
-    while open_ and left > 0:
-        unit = left / sum(weights[i] for i in open_)
-        full = [i for i in open_ if unit * weights[i] >= most * sizes[i]]
-        if not full:
-            for i in open_:
-                out[i] = unit * weights[i]
+def _numbered(found: DataFrame) -> DataFrame:
+    """``found(source, ...)`` with ``code``: its place by code points, null last."""
+    spark = found.sparkSession
+    order = F.asc_nulls_last("source")
+    rows = stage(found.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), order).withColumn("_part", F.spark_partition_id()))
+    over = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_start"))
+    code = F.col("_start") + F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
+    return rows.join(F.broadcast(starts), "_part").withColumn("code", code.cast("long")).drop("_part", "_start")
+
+
+def targets(sources: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
+    """``sources(code, source_size)`` with ``target``: ``share`` of all sizes split by the repeating ``weights``; what would be above ``most`` times a source's size goes to the others."""
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("code") % len(weights) + 1).cast("int"))
+    rows = sources.withColumn("_w", weight)
+    total = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("source_size") > 0, F.col("_w"))), F.lit(0))).first()
+    spend, open_, unit = share * total[0], total[1], 0.0
+    while open_:  # sums of whole numbers, so that reruns agree
+        unit = spend / open_
+        full = F.lit(unit) * F.col("_w") >= most * F.col("source_size")
+        taken, left = rows.where("source_size > 0").agg(F.coalesce(F.sum(F.when(full, most * F.col("source_size"))), F.lit(0)), F.coalesce(F.sum(F.when(~full, F.col("_w"))), F.lit(0))).first()
+        if left == open_:
             break
-        for i in full:
-            out[i] = most * sizes[i]
-            left -= out[i]
-        open_ = [i for i in open_ if i not in set(full)]
-    return out
+        spend, open_ = share * total[0] - taken, left
+    if not open_:
+        unit = float("inf")  # all are full
+    return rows.withColumn("target", F.when(F.col("source_size") > 0, F.least(F.lit(unit) * F.col("_w"), (most * F.col("source_size")).cast("double"))).otherwise(F.lit(0.0))).drop("_w")
 
 
-def draw_counts(expected: list[float], limits: list[int], shards: int, seed: int) -> np.ndarray:
+def draw_counts(expected: np.ndarray, limits: np.ndarray, shards: int, seed: int | list[int]) -> np.ndarray:
     """Slots by (shard, source): in each shard what is due for certain, and a multinomial draw over the fractions due."""
     rng = np.random.default_rng(seed)
     want, limit = np.asarray(expected, float), np.asarray(limits, np.int64)
@@ -91,26 +103,27 @@ class Mix:
     ``pieces``: (keys..., code, size, block, from, upto), the words of a document that lie in a block.
     """
 
-    def __init__(self, docs: DataFrame, keys: list[str], weights=(5.0, 2.0, 1.0), share=1.5, most=2, block=BLOCK, shards=64, seed=5):
+    def __init__(self, docs: DataFrame, keys: list[str], weights=(5, 2, 1), share=1.5, most=2, block=BLOCK, shards=64, seed=5):
         spark = docs.sparkSession
-        found = docs.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).limit(MOST_SOURCES + 1).collect()
-        if len(found) > MOST_SOURCES:
-            raise ValueError(f"more than {MOST_SOURCES} sources")
-        found.sort(key=lambda r: (r[0] is None, r[0] or ""))
-        sizes = [int(r["n"] or 0) for r in found]
-        goal = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], share, most)
-        blocks = [-(-n // block) for n in sizes]
-        counts = draw_counts([g * b / n if n else 0.0 for g, b, n in zip(goal, blocks, sizes)], [most * b for b in blocks], shards, seed)
         self.block = block
-        self.sources = spark.createDataFrame(
-            [(i, r["source"], sizes[i], float(goal[i]), blocks[i]) for i, r in enumerate(found)],
-            T.StructType([T.StructField("code", T.IntegerType()), T.StructField("source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("blocks", T.LongType())]),
-        )
-        starts = counts.cumsum(0) - counts
-        drawn = [(j, i, int(starts[j, i]), int(counts[j, i]), blocks[i]) for j in range(shards) for i in range(len(found)) if counts[j, i]]
-        slots = spark.createDataFrame(drawn, "shard int, code int, first long, n long, blocks long")
+        found = _numbered(docs.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("source_size"), F.count("*").alias("rows")))
+        found = targets(found, weights, share, most).withColumn("blocks", F.ceil(F.col("source_size") / F.lit(block)).cast("long"))
+        self.sources = stage(found.select("code", "source", "source_size", "target", "blocks", "rows"))
+        expected = F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(F.lit(0.0))
+        total, documents = self.sources.agg(F.coalesce(F.sum(expected), F.lit(0.0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+
+        def drawn(t: pa.Table) -> pa.Table:
+            order = np.argsort(t.column("code").to_numpy())
+            code, want, blocks = (t.column(c).to_numpy()[order] for c in ("code", "expected", "blocks"))
+            counts = draw_counts(want, most * blocks, shards, [seed, int(code[0]) // GROUP])
+            starts = counts.cumsum(0) - counts
+            j, i = np.nonzero(counts)
+            return pa.table({"shard": pa.array(j.astype(np.int32)), "code": pa.array(code[i]), "first": pa.array(starts[j, i]), "n": pa.array(counts[j, i]), "blocks": pa.array(blocks[i])})
+
+        group = F.floor(F.col("code") / F.lit(GROUP)).alias("group")
+        slots = stage(self.sources.select(group, "code", expected.alias("expected"), "blocks").groupBy("group").applyInArrow(drawn, "shard int, code long, first long, n long, blocks long"))
         piece = 1 << 14  # slots made from one row
-        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) // 200_000)  # with a number, adaptive execution keeps them apart
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // 200_000)  # with a number, adaptive execution keeps them apart
         slots = slots.withColumn("_part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / piece)))).repartition(tasks, "shard", "code", "_part")
         slots = slots.withColumn("slot", F.explode(F.sequence(F.col("_part") * piece, F.least(F.col("n"), (F.col("_part") + 1) * piece) - 1)))
         slots = slots.withColumn("_g", F.col("first") + F.col("slot")).withColumn("pass", F.floor(F.col("_g") / F.col("blocks")).cast("int"))
@@ -118,7 +131,7 @@ class Mix:
         self.slots = slots.select("code", "block", "shard", "slot", "pass")
         known = docs.join(self.sources.select("code", F.col("source").alias("_s")), docs["source"].eqNullSafe(F.col("_s"))).select(*keys, "code", "size")
         self.rows = known
-        at = running_totals(known.where("size > 0"), "code", [*keys, "size"], F.col("size"), max(64, sum(int(r["rows"]) for r in found) // 50_000), "_start")
+        at = running_totals(known.where("size > 0"), "code", [*keys, "size"], F.col("size"), max(64, int(documents) // 50_000), "_start")
         at = at.withColumn("block", F.explode(F.sequence(F.floor(F.col("_start") / block), F.floor((F.col("_start") + F.col("size") - 1) / block))))
         self.pieces = at.select(
             *keys, "code", "size", "_start", "block",

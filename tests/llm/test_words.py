@@ -259,10 +259,69 @@ def test_scores_of_nothing(empty, spark):
     assert [(r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) for r in only] == [(True, 1, 0, 0)]
 
 
-def test_targets():
-    assert mixing.targets([100, 100, 100], [5, 2, 1]) == pytest.approx([200, 500 / 3, 250 / 3])
-    assert sum(mixing.targets([10, 1000, 0, 5], [5, 2, 1, 5])) == pytest.approx(1.5 * 1015)
-    assert mixing.targets([], []) == [] and mixing.targets([0], [5]) == [0]
+def plain_targets(sizes, weights, share=1.5, most=2.0):
+    """By hand: who is full gets ``most`` times its size, the others share what is left."""
+    out, left, open_ = [0.0] * len(sizes), share * sum(sizes), [i for i, s in enumerate(sizes) if s > 0]
+    while open_ and left > 0:
+        unit = left / sum(weights[i] for i in open_)
+        full = [i for i in open_ if unit * weights[i] >= most * sizes[i]]
+        for i in full or open_:
+            out[i] = most * sizes[i] if full else unit * weights[i]
+        if not full:
+            break
+        left -= sum(out[i] for i in full)
+        open_ = [i for i in open_ if i not in set(full)]
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [10, 1000, 0, 5], [], [0], [7], list(range(1, 400, 3)), [1, 2, 4, 8, 16, 32, 64, 128, 100_000]])
+def test_targets(spark, sizes):
+    df = spark.createDataFrame(list(enumerate(sizes)), "code long, source_size long")
+    got = [r["target"] for r in mixing.targets(df, (5, 2, 1), 1.5, 2).orderBy("code").collect()]
+    assert got == pytest.approx(plain_targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))]))
+
+
+def test_sources_are_numbered_by_code_points(spark):
+    names = ["b", "é", "a", "\U0001f600", "\uffff", "", None, "Z"]
+    df = spark.createDataFrame([(n,) for n in names], "source string")
+    got = {r["source"]: r["code"] for r in mixing._numbered(df).collect()}
+    assert got == {n: i for i, n in enumerate([*sorted(n for n in names if n is not None), None])}
+
+
+def test_more_sources_than_are_drawn_together(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 10)
+    rng = np.random.default_rng(4)
+    rows = [(i, f"s{int(rng.integers(95)):02}", int(rng.integers(0, 200))) for i in range(900)] + [(900, None, 50), (900, None, 50)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    mix = mixing.Mix(df, ["doc_id"], block=8)
+    out = mix.taken(["doc_id"]).join(mix.sources.drop("rows"), "code").collect()
+    assert len(out) == len(rows) and all(0 <= r["taken"] <= 2 * r["size"] for r in out)
+    by = Counter()
+    for _, s, n in rows:
+        by[s] += n
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    goal = dict(zip(names, plain_targets([by[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))]), strict=True))
+    for s in names:
+        mine = [r for r in out if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - goal[s]) <= 3 * 8 and math.isclose(mine[0]["target"], goal[s])
+    empty = mixing.Mix(df.where("false"), ["doc_id"])
+    assert empty.taken(["doc_id"]).collect() == [] and empty.sources.collect() == []
+
+
+def test_op5_on_a_table(spark, docs, rows, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = mixing.op5_mix(spark, str(tmp_path)).collect()
+    sizes = {r.doc_id: len(WORD.findall(r.text or "")) for r in rows}
+    assert {r["doc_id"]: r["size"] for r in got} == sizes and len(got) == len(sizes)
+    names = sorted({r.source for r in rows}, key=lambda s: (s is None, s or ""))
+    by = [sum(sizes[r.doc_id] for r in rows if r.source == s) for s in names]
+    goal = dict(zip(names, zip(by, plain_targets(by, [(5, 2, 1)[i % 3] for i in range(len(names))]), strict=True), strict=True))
+    source, taken = {r.doc_id: r.source for r in rows}, Counter()
+    for r in got:
+        assert r["source_size"] == goal[source[r["doc_id"]]][0] and math.isclose(r["target"], goal[source[r["doc_id"]]][1]) and r["taken"] <= 2 * r["size"]
+        taken[source[r["doc_id"]]] += r["taken"]
+    assert all(abs(taken[s] - goal[s][1]) <= 3 * mixing.BLOCK for s in names)
+    assert {(r["doc_id"], r["taken"]) for r in mixing.op5_mix(spark, str(tmp_path)).collect()} == {(r["doc_id"], r["taken"]) for r in got}
 
 
 def test_permutation(spark):
@@ -282,7 +341,7 @@ def test_mix(docs, rows):
     assert all(0 <= r["taken"] <= 2 * r["size"] for r in out)
     names = sorted({r.source for r in rows}, key=lambda s: (s is None, s or ""))
     by = [sum(sizes[r.doc_id] for r in rows if r.source == s) for s in names]
-    goal = dict(zip(names, mixing.targets(by, [5, 2, 1, 5][: len(names)]), strict=True))
+    goal = dict(zip(names, plain_targets(by, [5, 2, 1, 5][: len(names)]), strict=True))
     for s in names:
         taken = sum(r["taken"] for r in out if r["source"] == s)
         assert abs(taken - goal[s]) <= 3 * 8 and all(math.isclose(r["target"], goal[s]) for r in out if r["source"] == s)
