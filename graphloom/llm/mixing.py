@@ -99,11 +99,13 @@ def permuted(index: Column, count: Column, *keys: Column) -> Column:
 class Mix:
     """A mix of ``docs(keys..., source, size)``; ``docs`` has to be cheap to read twice.
 
+    ``order``: columns that put a source's documents in their pseudorandom order, if ``keys`` should not, as they say where rows lie.
+
     ``sources``: (code, source, source_size, target, blocks); ``slots``: (code, block, shard, slot, pass);
     ``pieces``: (keys..., code, size, block, from, upto), the words of a document that lie in a block.
     """
 
-    def __init__(self, docs: DataFrame, keys: list[str], weights=(5, 2, 1), share=1.5, most=2, block=BLOCK, shards=64, seed=5):
+    def __init__(self, docs: DataFrame, keys: list[str], weights=(5, 2, 1), share=1.5, most=2, block=BLOCK, shards=64, seed=5, order: list[str] | None = None):
         spark = docs.sparkSession
         self.block = block
         found = _numbered(docs.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("source_size"), F.count("*").alias("rows")))
@@ -129,9 +131,9 @@ class Mix:
         slots = slots.withColumn("_g", F.col("first") + F.col("slot")).withColumn("pass", F.floor(F.col("_g") / F.col("blocks")).cast("int"))
         slots = slots.withColumn("block", permuted(F.pmod("_g", "blocks"), F.col("blocks"), F.col("code"), F.col("pass")))
         self.slots = slots.select("code", "block", "shard", "slot", "pass")
-        known = docs.join(self.sources.select("code", F.col("source").alias("_s")), docs["source"].eqNullSafe(F.col("_s"))).select(*keys, "code", "size")
-        self.rows = known
-        at = running_totals(known.where("size > 0"), "code", [*keys, "size"], F.col("size"), max(64, int(documents) // 50_000), "_start")
+        known = docs.join(self.sources.select("code", F.col("source").alias("_s")), docs["source"].eqNullSafe(F.col("_s"))).select(*keys, *(order or []), "code", "size")
+        self.rows = known.select(*keys, "code", "size")
+        at = running_totals(known.where("size > 0"), "code", [*(order or keys), "size"], F.col("size"), max(64, int(documents) // 50_000), "_start", keys if order else None)
         at = at.withColumn("block", F.explode(F.sequence(F.floor(F.col("_start") / block), F.floor((F.col("_start") + F.col("size") - 1) / block))))
         self.pieces = at.select(
             *keys, "code", "size", "_start", "block",
@@ -155,15 +157,19 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> list[str]:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix as rows like ``docs(text, source, ...)``: for each pass, every longest run of a document's words that lies in drawn blocks, as a row of its own; ``n_chars``, where there is one, is that of the run."""
-    keys = ["_mix_file", "_mix_row"]
+    """The mix as rows like ``docs(doc_id, text, source, ...)``: for each pass, every longest run of a document's words that lies in drawn blocks, as a row of its own; ``n_chars``, where there is one, is that of the run.
+
+    Rows are found again by their places in the files, but put in order by doc_id and text: reruns agree wherever the files lie.
+    """
+    keys, order = ["_mix_file", "_mix_row"], ["_mix_id", "_mix_md5"]
     where = [F.xxhash64("_metadata.file_path").alias(keys[0]), F.col("_metadata.row_index").alias(keys[1])]
     columns = docs.columns
     try:
         rows = docs.select("*", *where)
     except AnalysisException:  # not a scan of files
         rows = stage(docs).select("*", *where)
-    mix = Mix(stage(rows.select(*keys, "source", word_count(F.col("text")).alias("size"))), keys)
+    content = [F.col("doc_id").alias(order[0]), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias(order[1])]
+    mix = Mix(stage(rows.select(*keys, *content, "source", word_count(F.col("text")).alias("size"))), keys, order=order)
     times = mix.slots.groupBy("code", "block").agg(F.count("*").alias("times"))
     used = mix.pieces.hint("merge").join(times, ["code", "block"]).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("from", "upto", "times"))).alias("_mix_used"))
     full = rows.join(used, keys).drop(*keys)

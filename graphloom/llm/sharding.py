@@ -13,6 +13,7 @@ a null or empty text has size 1 and checksum 0; further columns of the input are
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate, groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,37 +40,62 @@ def grow(shards: list[Shard], weight: float = 1.0) -> list[Shard]:
     return [*shards, Shard(max((s.shard for s in shards), default=-1) + 1, max((s.region for s in shards), default=-1) + 1, 0, weight)]
 
 
-def _draw(key: Column, level: str, child: int, weight: float) -> Column:
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(level), F.lit(child)), 11)
-    return -F.log((bits.cast("double") + F.lit(0.5)) / F.lit(float(2**53))) / F.lit(float(weight))
+def _least_draw(key: Column, level: Column, children: Column, weights: Column) -> Column:
+    """Of ``children``, with ``weights`` above 0: the one with the least exponential variate, by a hash of key, level and child."""
 
+    def draw(child: Column, weight: Column) -> Column:
+        bits = F.shiftrightunsigned(F.xxhash64(key, level, child), 11)
+        return F.struct((-F.log((bits.cast("double") + F.lit(0.5)) / F.lit(float(2**53))) / weight).alias("draw"), child.alias("child"))
 
-def _choice(key: Column, level: str, weights: dict[int, float]) -> Column:
-    draws = [F.struct(_draw(key, level, c, w).alias("draw"), F.lit(c).alias("child")) for c, w in sorted(weights.items()) if w > 0]
-    return (F.least(*draws) if len(draws) > 1 else draws[0])["child"]
+    return F.array_min(F.zip_with(children, weights, draw))["child"]
 
 
 def place(key: Column, shards: list[Shard]) -> Column:
-    """The shard of ``key``. Weights of 0 take nothing; at least one has to be above 0."""
-    total: dict[tuple[int, ...], float] = {}
-    for s in shards:
-        for path in ((), (s.region,), (s.region, s.rack)):
-            total[path] = total.get(path, 0.0) + s.weight
-    if not total.get((), 0.0) > 0:
+    """The shard of ``key``. Weights of 0 take nothing; at least one has to be above 0.
+
+    The tree is held in arrays, a level each, so the expression is of one size for any number of shards, and a key draws
+    only among the children of what it has chosen.
+    """
+    live = sorted((s for s in shards if s.weight > 0), key=lambda s: (s.region, s.rack, s.shard))
+    if not live:
         raise ValueError("no shard has a weight above 0")
-    live = [s for s in shards if s.weight > 0]
-    regions = sorted({s.region for s in live})
-    region = _choice(key, "region", {r: total[(r,)] for r in regions})
-    out = F.lit(None).cast("int")
-    for r in reversed(regions):
-        racks = sorted({s.rack for s in live if s.region == r})
-        rack = _choice(key, f"rack of {r}", {k: total[(r, k)] for k in racks})
-        below = F.lit(None).cast("int")
-        for k in reversed(racks):
-            leaf = _choice(key, f"shard of {r}.{k}", {s.shard: s.weight for s in live if (s.region, s.rack) == (r, k)})
-            below = F.when(rack == k, leaf).otherwise(below)
-        out = F.when(region == r, below).otherwise(out)
-    return out.cast("int")
+    racks = [list(g) for _, g in groupby(live, key=lambda s: (s.region, s.rack))]
+    regions = [list(g) for _, g in groupby(racks, key=lambda k: k[0].region)]
+    weight = lambda rack: sum(s.weight for s in rack)
+
+    def below(groups: list[list]) -> tuple[Column, Column]:
+        """Where each one's children start, from 1, and their number."""
+        sizes = [len(g) for g in groups]
+        return F.lit([1 + x for x in accumulate([0, *sizes[:-1]])]), F.lit(sizes)
+
+    region_ids, region_weights = [r[0][0].region for r in regions], [float(sum(map(weight, r))) for r in regions]
+    region = _least_draw(key, F.lit("region"), F.lit(region_ids), F.lit(region_weights))
+    out = _Chosen(region, region_ids, below(regions))
+    rack_ids, rack_weights = [k[0].rack for k in racks], [float(weight(k)) for k in racks]
+    rack = _least_draw(key, F.concat(F.lit("rack of "), region.cast("string")), out.children(rack_ids), out.children(rack_weights))
+    at = out.start() + F.array_position(out.children(rack_ids), rack).cast("int") - 1
+    starts, sizes = below(racks)
+    cut = lambda values: F.slice(F.lit(values), F.element_at(starts, at), F.element_at(sizes, at))
+    level = F.concat(F.lit("shard of "), region.cast("string"), F.lit("."), rack.cast("string"))
+    return _least_draw(key, level, cut([s.shard for s in live]), cut([float(s.weight) for s in live])).cast("int")
+
+
+@dataclass(frozen=True)
+class _Chosen:
+    """The chosen one of ``ids``, and where its children lie in the level below."""
+
+    child: Column
+    ids: list[int]
+    below: tuple[Column, Column]
+
+    def _at(self, values: Column) -> Column:
+        return F.element_at(values, F.array_position(F.lit(self.ids), self.child).cast("int"))
+
+    def start(self) -> Column:
+        return self._at(self.below[0])
+
+    def children(self, values: list) -> Column:
+        return F.slice(F.lit(values), self.start(), self._at(self.below[1]))
 
 
 def shard(rows: DataFrame, key: str, shards: list[Shard], rows_a_bucket: int = 50_000) -> DataFrame:

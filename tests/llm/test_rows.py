@@ -1,9 +1,14 @@
 """Operators on keys and vectors (8, 9), and the pipeline."""
 
+import math
 import random
+import struct
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from graphloom.llm import embeddings, sharding
@@ -110,6 +115,58 @@ def test_places(spark):
         sharding.place(F.col("id"), [sharding.Shard(0, 0, 0, 0.0)])
 
 
+def plain_place(key, shards):
+    """By hand: at each level the child with the least variate."""
+    def draw(level, child, weight):
+        h = xxhash.xxh64_intdigest(struct.pack("<q", key), 42) if key is not None else 42
+        h = xxhash.xxh64_intdigest(struct.pack("<i", child), xxhash.xxh64_intdigest(level.encode(), h))
+        return -math.log(((h >> 11) + 0.5) / 2**53) / weight
+
+    def least(level, children):
+        return min((draw(level, c, w), c) for c, w in children.items() if w > 0)[1]
+
+    def total(by):
+        out = {}
+        for s in shards:
+            out[by(s)] = out.get(by(s), 0) + s.weight
+        return out
+
+    region = least("region", total(lambda s: s.region))
+    shards = [s for s in shards if s.region == region]
+    rack = least(f"rack of {region}", total(lambda s: s.rack))
+    return least(f"shard of {region}.{rack}", {s.shard: s.weight for s in shards if s.rack == rack})
+
+
+def test_places_by_hand(spark):
+    rng = random.Random(3)
+    for shards in (sharding.tree(8), sharding.grow(sharding.tree(8)), sharding.tree(1), [sharding.Shard(100 - k, rng.randrange(5), rng.randrange(3), rng.choice([0.0, 0.5, 1.0, 4.0])) for k in range(40)]):
+        keys = [None, *(rng.randrange(-(2**63), 2**63) for _ in range(150))]
+        got = spark.createDataFrame([(k,) for k in keys], "k long").select("k", sharding.place(F.col("k"), shards)).collect()
+        assert {r[0]: r[1] for r in got} == {k: plain_place(k, shards) for k in keys}
+
+
+def test_thousands_of_shards(spark):
+    shards = sharding.tree(5000, 10, 20)
+    got = spark.range(20_000).select(sharding.place(F.col("id"), shards).alias("s")).groupBy("s").count().collect()
+    assert len(got) > 4800 and max(r["count"] for r in got) < 30
+
+
+def test_op9_by_hand(spark, docs, rows, tmp_path):
+    more = spark.createDataFrame([(None, "x", "en", "a", 1, 0.0, "s", 1)] * 2, docs.schema)
+    docs.unionByName(more).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sharding.op9_hash_tree(spark, str(tmp_path)).collect()
+    shards = sharding.tree(8)
+    want = sorted((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode()), plain_place(r.doc_id, shards), plain_place(r.doc_id, sharding.grow(shards))) for r in rows)
+    assert sorted((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["grown_shard"]) for r in got if r["doc_id"] is not None) == want
+    assert {r["law"] for r in got} == {"key"} and sum(r["doc_id"] is None for r in got) == 2
+    assert all(r["grown_shard"] in (r["shard"], 8) for r in got)
+    for s in range(8):
+        mine = [r["slot"] for r in got if r["shard"] == s]
+        assert sorted(mine) == list(range(len(mine)))
+    spark.read.parquet(str(tmp_path / "documents.parquet")).where("false").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert sharding.op9_hash_tree(spark, str(tmp_path / "none")).collect() == []
+
+
 def test_slots(spark):
     rng = random.Random(2)
     df = spark.createDataFrame([(rng.choice([None, *range(300)]), "x", 5) for _ in range(500)], "doc_id long, shard string, slot int")
@@ -120,6 +177,89 @@ def test_slots(spark):
     assert sharding.shard(df.where("false"), "doc_id", sharding.tree(4)).collect() == []
 
 
+@pytest.fixture
+def tables(spark, tmp_path):
+    """A folder with documents, of which some hold a secret or a toxic word, and labels."""
+
+    def make(rows, columns="doc_id long, text string, lang string, source string, n_chars long", name="in"):
+        folder = tmp_path / name
+        spark.createDataFrame(rows, columns).write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([(r[0], 1, int("vermin" in (r[1] or ""))) for r in rows], "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+        return str(folder)
+
+    return make
+
+
+def texts(n, seed=0):
+    rng = random.Random(seed)
+    words = [a + b for a in "the of en ti on ra lo mi".split() for b in ("", "n", "ster", "lo")]
+    out = []
+    for i in range(n):
+        w = [rng.choice(words) for _ in range(rng.randint(40, 160))]
+        if i % 4 == 0:
+            w[3:3] = ["vermin", "vermin", "rotten"]
+        if i % 5 == 0:
+            w.insert(7, "password=hunter2hunter2")
+        out.append(" ".join(w))
+    return out
+
+
+def test_pipeline_against_plain_stages(spark, tables, tmp_path):
+    """Each stage on all that the one before it kept, by hand: no toxic text, one of each group, no secret, the mix's words, the ids."""
+    import corpus_pipeline
+    import public_tokenizers
+    import tiktoken
+
+    from graphloom.llm import bytebpe, toxicity
+    from tests.llm.test_words import WORD, plain_classes, plain_targets
+
+    base = texts(60)
+    base += [base[5], base[6].replace("the", "the", 1), base[7] + " more", None, "", "two words", base[9]]
+    rows = [(i * 2, t, "en", ["a", "b", None][i % 3], len(t or "")) for i, t in enumerate(base)] + [(None, base[10], "en", "a", 1)]
+    folder = tables(rows)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r.asDict().get("text") or "")
+    kept = [docs]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, kept[-1], folder).write.parquet(str(tmp_path / f"s{k}"))
+        kept.append(spark.read.parquet(str(tmp_path / f"s{k}")))
+        assert k == 4 or kept[-1].columns == docs.columns
+    tables_ = [sorted(d.collect(), key=key) for d in kept]
+    model = toxicity.fit_on(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    bad = {t: p >= 0.7 for t, p in zip(base, model.scores(pa.array(base, pa.string())), strict=True)}
+    assert tables_[1] == [r for r in tables_[0] if not bad[r["text"]]] and 0 < sum(bad.values()) < 40
+    known = [r for r in tables_[1] if r["doc_id"] is not None]
+    classes = plain_classes(known)
+    assert tables_[2] == [r for r in tables_[1] if r["doc_id"] is None or classes[r["doc_id"]][1] == r["doc_id"]]
+    assert len(tables_[2]) < len(tables_[1])
+    clean = lambda t: t and t.replace("password=hunter2hunter2", "[SECRET]")
+    assert [(r["doc_id"], r["text"], r["n_chars"]) for r in tables_[3]] == [(r["doc_id"], clean(r["text"]), None if r["text"] is None else len(clean(r["text"]))) for r in tables_[2]]
+    size, taken, whole = {}, {}, {(r["doc_id"], r["source"]): r["text"] for r in tables_[3]}
+    for r in tables_[3]:
+        size[r["source"]] = size.get(r["source"], 0) + len(WORD.findall(r["text"] or ""))
+    for r in tables_[4]:
+        assert r["text"] in whole[r["doc_id"], r["source"]] and r["n_chars"] == len(r["text"])
+        taken[r["source"]] = taken.get(r["source"], 0) + len(WORD.findall(r["text"]))
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    for s, goal in zip(names, plain_targets([size[s] for s in names], [5, 2, 1]), strict=True):
+        assert abs(taken.get(s, 0) - goal) <= 3 * 64
+    codec = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(bytebpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))}, special_tokens={})
+    assert sorted((str(r["doc_id"]), r["ids"]) for r in tables_[5]) == sorted((str(r["doc_id"]), codec.encode_ordinary(r["text"])) for r in tables_[4])
+    got = corpus_pipeline.run(spark, folder).collect()
+    assert sorted((str(r["doc_id"]), r["ids"]) for r in got) == sorted((str(r["doc_id"]), r["ids"]) for r in tables_[5])
+
+
+def test_pipeline_of_odd_tables(spark, tables):
+    import corpus_pipeline
+
+    none = tables([], name="none")
+    assert corpus_pipeline.run(spark, none).collect() == []
+    # no n_chars, further columns with names that operators use, repeated rows and ids
+    odd = tables([(1, "a b c d e f g", "x", 1.0), (1, "a b c d e f g", "x", 1.0), (2, None, None, 2.0), (3, "", "y", 3.0), (4, "one text more than that", "y", 4.0)], "doc_id long, text string, source string, score double", "odd")
+    got = corpus_pipeline.run(spark, odd).collect()
+    assert {r["doc_id"] for r in got} <= {1, 4} and got
+
+
 def test_pipeline(spark, docs, rows, tmp_path):
     import corpus_pipeline
 
