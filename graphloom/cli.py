@@ -5,15 +5,15 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from .operators.match import Settings, align
 from .operators.merge import canonical_mapping, distinct_lines, rewrite_lines
 from .operators.select import entities
-from .plans.pairs import align_pairs, class_links, pair_results
+from .plans.pairs import class_links, converted, write_pairs
 from .sources import tables
+from .sources.files import write_csv_file
 from .sources.ntriples import RDFS_LABEL, read_lines, read_triples, write_lines
-from .sources.sparql import columns, read_sparql, read_template
+from .sources.sparql import fetch, read_template
 
 
 def _settings(p: argparse.ArgumentParser) -> None:
@@ -46,13 +46,13 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("threshold", type=float)
     p.add_argument("page_size", type=int)
     p.add_argument("links")
-    p.add_argument("--columns", default="instance,label")
     p.add_argument("--output", default="alignment_results")
+    p.add_argument("--min-interval", type=float, default=1.0, help="seconds between requests to either endpoint")
+    p.add_argument("--force", action="store_true", help="ask again for what is there")
     p = sub.add_parser("pairs", help="instance tables and a manifest to links of every pair of classes")
     p.add_argument("manifest")
-    p.add_argument("left_instances")
-    p.add_argument("right_instances")
-    p.add_argument("--output", required=True)
+    p.add_argument("--output", default="fuzzy_results")
+    p.add_argument("--force", action="store_true", help="match again what is there, and read its instances again")
     for side in ("left", "right"):
         p.add_argument(f"--{side}-iri-column", default="instance")
         p.add_argument(f"--{side}-label-column", default="label")
@@ -80,20 +80,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         tables.write_links(align(left, right, _read(a)), a.out)
     elif a.stage == "fetch":
         links = class_links(tables.read_links(spark, a.links, strict=True), a.threshold)
-        for side in ("left", "right"):
-            iris = [r[0] for r in links.select(side).distinct().orderBy(side).collect()]  # classes to ask for, one request each at least
-            rows = read_sparql(spark, getattr(a, f"{side}_endpoint"), read_template(getattr(a, f"{side}_template")), iris, a.page_size)
-            columns(rows, a.columns.split(",")).withColumnRenamed("iri", "class_iri").write.mode("overwrite").parquet(f"{a.output}/{side}")
-        tables.write_csv(tables.manifest(links).coalesce(1), f"{a.output}/pairs.csv")
+        sides = ("left", "right")
+        told = fetch(links, {s: getattr(a, f"{s}_endpoint") for s in sides}, {s: read_template(getattr(a, f"{s}_template")) for s in sides}, a.output, a.page_size, a.min_interval, a.force)
+        write_csv_file(tables.manifest(links), f"{a.output}/pairs.csv")
+        print(told)
     elif a.stage == "pairs":
         pairs = tables.read_manifest(spark, a.manifest)
-        sides = []
-        for side in ("left", "right"):
-            iri, label = getattr(a, f"{side}_iri_column"), getattr(a, f"{side}_label_column")
-            sides.append(spark.read.parquet(getattr(a, f"{side}_instances")).select("class_iri", F.col(iri).alias("iri"), F.col(label).alias("label")))
-        found = align_pairs(pairs.select("pair_id", "left_iri", "right_iri"), *sides, _read(a))
-        found.select("pair_id", tables.link_line().alias("value")).write.mode("overwrite").partitionBy("pair_id").text(f"{a.output}/links")
-        tables.write_csv(pair_results(pairs), f"{a.output}/pair_results.csv")
+        left, right = (converted(spark, pairs, s, f"{a.output}/converted", getattr(a, f"{s}_iri_column"), getattr(a, f"{s}_label_column"), a.force) for s in ("left", "right"))
+        print(f"{write_pairs(spark, pairs, left, right, a.output, _read(a), a.force)} new pairs of classes")
     elif a.stage == "merge":
         mapping = canonical_mapping(tables.read_links(spark, a.links), a.conf)
         if a.out_mapping:
@@ -102,8 +96,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         if a.one_graph:
             write_lines(distinct_lines(*graphs.values()), a.out_dir)
         else:
-            for path, lines in graphs.items():
-                write_lines(distinct_lines(lines).orderBy("value"), f"{a.out_dir}/{path.rstrip('/').rsplit('/', 1)[-1]}")
+            names = [path.rstrip("/").rsplit("/", 1)[-1] for path in graphs]
+            if len(set(names)) < len(names):
+                raise ValueError(f"graphs of one name would take each other's place: {sorted(names)}")
+            for name, lines in zip(names, graphs.values(), strict=True):
+                write_lines(distinct_lines(lines).orderBy("value"), f"{a.out_dir}/{name}")
     else:
         write_lines(distinct_lines(read_lines(spark, a.input)).orderBy("value"), a.output)
 

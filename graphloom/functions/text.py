@@ -129,9 +129,12 @@ def score_text(score: Column) -> Column:
     return F.format_string("%.6f", F.bround(score, 6))
 
 
+IRI = r"^(?i:https?)://[^/?#<>\"{}|^`\\\x00-\x20]+[^<>\"{}|^`\\\x00-\x20]*$"
+
+
 def is_iri(iri: Column) -> Column:
     """HTTP or HTTPS, with a host, and without the characters that end an IRI term."""
-    return F.coalesce(iri.rlike(r"^(?i:https?)://[^/?#<>\"{}|^`\\\x00-\x20]+[^<>\"{}|^`\\\x00-\x20]*$"), F.lit(False))
+    return F.coalesce(iri.rlike(IRI), F.lit(False))
 
 
 def iri_term(iri: Column) -> Column:

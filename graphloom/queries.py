@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import match, merge, select
 from .plans import pairs as P
+from .plans.staging import shared_dir
 from .sources import ntriples, sparql, tables
+from .sources.files import write_csv_file
 
 MD5 = match.Settings(threshold=0.70, trigram_threshold=0.40, gram_hash="md5")
 QUERIES = {}
@@ -266,6 +270,60 @@ def pair_ids(spark, sf):
     return P.pair_ids(rows.select((F.col("n_nationkey") + 1).alias("position"), F.concat(F.lit("http://l/"), "n_name").alias("left_iri"), F.concat(F.lit("http://r/"), "r_name").alias("right_iri")))
 
 
+# files: written to the shared folder, read back
+
+
+def _folder(spark) -> str:
+    return f"{shared_dir(spark)}/graphloom/{uuid.uuid4().hex}"
+
+
+@query("SELECT 'http://n/' || n_nationkey AS s, 'http://www.w3.org/2000/01/rdf-schema#label' AS p, n_name || ', \"' || n_nationkey || '\"' AS o_lex FROM nation")
+def class_csv(spark, sf):
+    rows = _table(spark, sf, "nation").select(F.concat(F.lit(" http://n/"), "n_nationkey").alias("class"), F.concat("n_name", F.lit(', "'), "n_nationkey", F.lit('" ')).alias("label"))
+    rows = rows.union(rows.limit(1).select(F.lit("http://none"), F.lit("  ")))
+    folder = _folder(spark)
+    write_csv_file(rows, f"{folder}/classes.csv")
+    tables.csv_to_triples(spark, f"{folder}/classes.csv", f"{folder}/labels.nt")
+    return ntriples.read_triples(spark, f"{folder}/labels.nt").select("s", "p", "o_lex")
+
+
+@query("SELECT 'http://x/supplier/' || s_suppkey AS iri, s_name AS label FROM supplier")
+def instance_csv(spark, sf):
+    rows = _table(spark, sf, "supplier").select(F.col("s_name").alias("label"), F.lit("x").alias("more"), F.concat(F.lit("http://x/supplier/"), "s_suppkey").alias("instance"))
+    folder = _folder(spark)
+    write_csv_file(rows, f"{folder}/instances.csv")
+    return tables.read_instances(spark, f"{folder}/instances.csv")
+
+
+@query(
+    """WITH m AS (SELECT row_number() OVER (ORDER BY n_name)::INT AS position, 'http://l/' || n_name AS left_iri, 'http://r/' || r_name AS right_iri, printf('%.6f', (n_nationkey % 10) / 10e0) AS score FROM nation JOIN region ON r_regionkey = n_regionkey)
+SELECT position, left_iri, right_iri, score, 'left/' || sha256(left_iri) || '.csv' AS left_file, 'right/' || sha256(right_iri) || '.csv' AS right_file, printf('%06d_', position) || sha256(left_iri || chr(0) || right_iri)[1:20] AS pair_id FROM m"""
+)
+def manifest(spark, sf):
+    rows = _table(spark, sf, "nation").join(_table(spark, sf, "region"), F.col("r_regionkey") == F.col("n_regionkey")).orderBy("n_name")
+    links = rows.select(F.concat(F.lit("http://l/"), "n_name").alias("left"), F.concat(F.lit("http://r/"), "r_name").alias("right"), (F.col("n_nationkey") % 10 / 10).alias("score"))
+    path = f"{_folder(spark)}/pairs.csv"
+    write_csv_file(tables.manifest(links), path)
+    relative = [F.substring_index(c, "/", -2).alias(c) for c in ("left_file", "right_file")]
+    return tables.read_manifest(spark, path).select("position", "left_iri", "right_iri", "score", *relative, "pair_id")
+
+
+@query("SELECT left_iri, right_iri, printf('%.6f', (k % 10) / 10e0) AS score, 'pairs/' || printf('%06d_', k + 1) || sha256(left_iri || chr(0) || right_iri)[1:20] || '.tsv' AS result_file FROM (SELECT n_nationkey AS k, 'http://l/' || n_name AS left_iri, 'http://r/' || r_name AS right_iri FROM nation JOIN region ON r_regionkey = n_regionkey)")
+def result_index(spark, sf):
+    rows = _table(spark, sf, "nation").join(_table(spark, sf, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    rows = rows.select((F.col("n_nationkey") + 1).alias("position"), F.concat(F.lit("http://l/"), "n_name").alias("left_iri"), F.concat(F.lit("http://r/"), "r_name").alias("right_iri"), T.score_text(F.col("n_nationkey") % 10 / 10).alias("score"))
+    return P.pair_results(P.pair_ids(rows))
+
+
+@query("SELECT 'http://x/part/' || p_partkey AS old, 'http://x/part/' || p_size AS canonical FROM part WHERE p_partkey <> p_size")
+def mapping_file(spark, sf):
+    path = f"{_folder(spark)}/mapping.tsv"
+    iri = lambda c: F.concat(F.lit("http://x/part/"), c)
+    tables.write_mapping(_table(spark, sf, "part").select(iri("p_partkey").alias("old"), iri("p_size").alias("canonical")), path)
+    fields = F.split("value", "\t")
+    return ntriples.read_lines(spark, path).select(fields[0].alias("old"), fields[1].alias("canonical"))
+
+
 @query("SELECT url, regexp_matches(url, '^(?i:https?)://[^/?#<>\"{}|^`\\\\\\x00-\\x20]+[^<>\"{}|^`\\\\\\x00-\\x20]*$') AS valid, sha256(url) || '.csv' AS file FROM pages")
 def iri_terms(spark, sf):
     return _table(spark, sf, "pages").select("url", T.is_iri(F.col("url")).alias("valid"), T.file_name(F.col("url")).alias("file"))

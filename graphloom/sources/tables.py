@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, file_name, iri_term, pair_id, score_text, strip
+from .files import publish
 from .ntriples import RDFS_LABEL, label_triple, read_lines, write_lines
 
 SAME_AS = "http://www.w3.org/2002/07/owl#sameAs"
@@ -107,7 +108,7 @@ def manifest(links: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True, escape='"')
+    publish(df.sparkSession, path, lambda made: df.write.csv(made, header=True, escape='"'))
 
 
 def write_mapping(mapping: DataFrame, path: str) -> None:

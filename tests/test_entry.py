@@ -32,7 +32,7 @@ def test_entry(spark):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["align", "align_metrics", "candidates", "canonical_mapping", "merge_graphs", "nt_roundtrip", "links_lenient", "sparql_json", "pair_ids"])
+@pytest.mark.parametrize("name", ["align", "align_metrics", "candidates", "canonical_mapping", "merge_graphs", "nt_roundtrip", "links_lenient", "sparql_json", "pair_ids", "components", "class_csv", "instance_csv", "manifest", "result_index", "mapping_file"])
 def test_queries(spark, name):
     con = duckdb.connect()
     for t in TABLES:

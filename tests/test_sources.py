@@ -1,7 +1,10 @@
 """Readers, parsers and writers."""
 
+import csv
+import hashlib
 import json
 import threading
+import time
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import parse_qs
 
@@ -10,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from graphloom import cli
 from graphloom.operators import merge
 from graphloom.operators.select import TriplePattern, entities, select_entities
 from graphloom.sources import ntriples as N
@@ -119,13 +123,17 @@ def test_rewriting(spark):
 
 class Endpoint(BaseHTTPRequestHandler):
     rows = [{"instance": {"type": "uri", "value": f"http://i/{k}"}} | ({"label": {"type": "literal", "value": f"n{k}"}} if k != 1 else {}) for k in range(5)]
+    asked: list = []
 
     def do_POST(self):  # noqa: N802
         query = parse_qs(self.rfile.read(int(self.headers["Content-Length"])).decode())["query"][0]
-        assert "<http://c>" in query
+        iri = query.split("<")[1].split(">")[0]
+        self.asked.append((self.path, iri, time.monotonic()))
         limit, offset = (int(query.split(w)[1].split()[0]) for w in ("LIMIT", "OFFSET"))
-        body = json.dumps({"head": {"vars": ["instance", "label"]}, "results": {"bindings": self.rows[offset : offset + limit]}}).encode()
-        self.send_response(200)
+        rows = [] if iri.endswith("empty") else self.rows
+        names = [] if iri.endswith("nothing") else ["instance", "label"]
+        body = json.dumps({"head": {"vars": names}, "results": {"bindings": rows[offset : offset + limit]}}).encode()
+        self.send_response(500 if iri.endswith("broken") else 200)
         self.end_headers()
         self.wfile.write(body)
 
@@ -133,13 +141,76 @@ class Endpoint(BaseHTTPRequestHandler):
         pass
 
 
-def test_sparql_pages(spark):
+@pytest.fixture
+def endpoint():
     server = HTTPServer(("127.0.0.1", 0), Endpoint)
     threading.Thread(target=server.serve_forever, daemon=True).start()
-    rows = sparql.read_sparql(spark, f"http://127.0.0.1:{server.server_port}/", "SELECT * {{{IRI}}}", ["http://c"], page_size=2, min_interval=0.01)
-    got = sparql.columns(rows, ["instance", "label"]).orderBy("position").collect()
+    Endpoint.asked.clear()
+    yield f"http://127.0.0.1:{server.server_port}"
     server.shutdown()
+
+
+def test_sparql_pages(spark, endpoint):
+    pages = sparql.read_pages(spark, endpoint, "SELECT * {{{IRI}}}", ["http://c"], page_size=2, min_interval=0.01)
+    got = sparql.columns(sparql.page_rows(pages), ["instance", "label"]).orderBy("position").collect()
     assert [(r["position"], r["instance"], r["label"]) for r in got] == [(k, f"http://i/{k}", "" if k == 1 else f"n{k}") for k in range(5)]
+    for bad, why in (("http://c> } #", "invalid IRI"), ("ftp://c", "invalid IRI"), ("http://c\n", "invalid IRI"), ("http://nothing", "without variables")):
+        with pytest.raises(Exception, match=why):
+            sparql.read_pages(spark, endpoint, "SELECT * {{{IRI}}}", [bad], min_interval=0.01).collect()
+    assert "http://c> } #" not in {iri for _, iri, _ in Endpoint.asked}
+
+
+def test_fetch_and_pairs(spark, endpoint, tmp_path):
+    """From links of classes to links of instances, by the commands; what is there is not asked for or matched again."""
+    template, links, out, found = tmp_path / "q", tmp_path / "links", tmp_path / "out", tmp_path / "found"
+    template.write_text("SELECT * { ?instance a {{IRI}} }")
+    links.write_text("<http://l/a>\t<http://r/a>\t0.900000\n<http://l/a>\t<http://r/empty>\t0.8\n<http://l/low>\t<http://r/low>\t0.1\n")
+    fetch = ["fetch", f"{endpoint}/left", f"{endpoint}/right", str(template), str(template), "0.5", "3", str(links), "--output", str(out), "--min-interval", "0.2"]
+    cli.main(fetch, spark)
+    assert [(p, i) for p, i, _ in Endpoint.asked] == [("/left", "http://l/a")] * 2 + [("/right", "http://r/a")] * 2 + [("/right", "http://r/empty")]
+    times = [t for *_, t in Endpoint.asked]
+    assert times[-1] - times[0] >= 4 * 0.2 - 0.15  # over both endpoints
+    with open(out / "pairs.csv", newline="") as f:
+        rows = list(csv.DictReader(f))
+    assert [(r["left_iri"], r["right_iri"], r["score"]) for r in rows] == [("http://l/a", "http://r/a", "0.900000"), ("http://l/a", "http://r/empty", "0.800000")]
+    for r in rows:
+        for side in ("left", "right"):
+            with open(out / r[f"{side}_file"], newline="") as f:
+                assert r[f"{side}_file"] == f"{side}/{hashlib.sha256(r[f'{side}_iri'].encode()).hexdigest()}.csv"
+                assert [tuple(x.values()) for x in csv.DictReader(f)] == ([] if r[f"{side}_iri"].endswith("empty") else [(f"http://i/{k}", "" if k == 1 else f"n{k}") for k in range(5)])
+    cli.main(fetch, spark)
+    assert len(Endpoint.asked) == 5
+    pairs = ["pairs", str(out / "pairs.csv"), "--output", str(found)]
+    cli.main(pairs, spark)
+    with open(found / "pair_results.csv", newline="") as f:
+        index = list(csv.DictReader(f))
+    assert [(r["left_iri"], r["right_iri"], r["score"]) for r in index] == [(r["left_iri"], r["right_iri"], r["score"]) for r in rows]
+    files = [found / r["result_file"] for r in index]
+    assert sorted(files[0].read_text().splitlines()) == sorted(f"<http://i/{k}>\t<http://i/{k}>\t1.000000" for k in (0, 2, 3, 4)) and files[1].read_text() == ""
+    files[0].write_text("kept\n")
+    cli.main(pairs, spark)
+    assert files[0].read_text() == "kept\n"
+    cli.main([*pairs, "--force"], spark)
+    assert len(files[0].read_text().splitlines()) == 4
+    assert [p for p in tmp_path.rglob("*") if p.is_dir() and ".part" in p.name] == []
+
+
+def test_a_failed_fetch_goes_on(spark, endpoint, tmp_path):
+    links = spark.createDataFrame([("http://l/a", "http://r/broken")], "left string, right string")
+    ask = lambda **k: sparql.fetch(links, {"left": f"{endpoint}/l", "right": f"{endpoint}/r"}, dict.fromkeys(("left", "right"), "{{IRI}}"), str(tmp_path), 10, 0.01, **k)
+    for times in (1, 1):
+        with pytest.raises(Exception):  # noqa: B017
+            ask()
+        assert sum(i == "http://l/a" for _, i, _ in Endpoint.asked) == times
+    assert [p.parent.name for p in tmp_path.rglob("*.csv")] == ["left"]
+
+
+def test_instances(spark, tmp_path):
+    (tmp_path / "i.csv").write_text('label,instance,more\n" a ",http://i/1,x\n,http://i/2,x\nb,,x\n"c\nd",http://i/3,x\n')
+    assert [tuple(r) for r in tables.read_instances(spark, str(tmp_path / "i.csv")).collect()] == [("http://i/1", "a"), ("http://i/3", "c\nd")]
+    (tmp_path / "i.csv").write_text("instance,label\nnot an iri,x\n")
+    with pytest.raises(Exception, match="invalid IRI"):
+        tables.read_instances(spark, str(tmp_path / "i.csv")).collect()
 
 
 def test_templates(tmp_path):
