@@ -56,26 +56,24 @@ def read_lines(spark: SparkSession, path: str | list[str], newlines: str | None
     return reader.text(path).select(F.make_valid_utf8(F.col("value")).alias("value"))
 
 
-def _term(rest: str, name: str, *others: str) -> tuple[list[Column], Column]:
-    """Columns with the IRI at the start of ``rest``, up to the first ``"> "``, and what follows it; and whether there is one."""
-    end = F.instr(rest, "> ")
-    columns = [*map(F.col, others), F.substring(F.col(rest), F.lit(2), end - 2).alias(name), F.ltrim(F.substring(F.col(rest), end + 2, F.char_length(rest)), F.lit(WHITE)).alias(f"after_{name}")]
-    return columns, F.col(rest).startswith("<") & (end > 1)
-
-
 def parse_triples(lines: DataFrame, column: str = "value") -> DataFrame:
     """``(s, p, o_raw, o_iri, o_lex, o_lang, o_dt)`` of the lines that are triples with IRIs for subject and predicate.
 
-    The first ``"> "`` ends an IRI; the object is what stands before the full stop at the end. Each column is cut from
-    the one before it by string functions, so a line is read a few times, whatever its length.
+    The first ``"> "`` ends an IRI; the object is what stands before the full stop at the end. Each step cuts its columns from
+    those of the step before, by string functions. The rows are told by a generator at the end, not by filters, which the
+    optimiser would move below the steps, with a copy of all of them for each column that they read.
     """
+    white = F.lit(WHITE)
     rows = lines.select(strip(F.col(column)).alias("line"))
-    rows = rows.where(F.col("line").startswith("<") & F.col("line").endswith("."))
-    rows = rows.select(F.rtrim(F.substring(F.col("line"), F.lit(1), F.char_length("line") - 1), F.lit(WHITE)).alias("rest"))
-    columns, good = _term("rest", "s")
-    rows = rows.where(good).select(columns)
-    columns, good = _term("after_s", "p", "s")
-    rows = rows.where(good).select(columns).select("s", "p", F.col("after_p").alias("o_raw")).where("o_raw <> ''")
+    rows = rows.select((F.col("line").startswith("<") & F.col("line").endswith(".")).alias("ok"), F.rtrim(F.substring("line", F.lit(1), F.char_length("line") - 1), white).alias("rest"))
+    rows = rows.select("ok", "rest", F.instr("rest", "> ").alias("end"))
+    rows = rows.select((F.col("ok") & (F.col("end") > 1)).alias("ok"), F.substring("rest", F.lit(2), F.col("end") - 2).alias("s"), F.ltrim(F.substring("rest", F.col("end") + 2, F.char_length("rest")), white).alias("rest"))
+    rows = rows.select("ok", "s", "rest", F.instr("rest", "> ").alias("end"))
+    rows = rows.select(
+        (F.col("ok") & F.col("rest").startswith("<") & (F.col("end") > 1)).alias("ok"), "s", F.substring("rest", F.lit(2), F.col("end") - 2).alias("p"),
+        F.ltrim(F.substring("rest", F.col("end") + 2, F.char_length("rest")), white).alias("o_raw"),
+    )
+    rows = rows.select(F.inline(F.when(F.col("ok") & (F.col("o_raw") != ""), F.array(F.struct("s", "p", "o_raw")))))
     tail = F.regexp_extract("o_raw", r'(?s)^"(?:[^"\\]|\\.)*+"(.*)$', 1)
     none = lambda c: F.when(c != "", c)
     return rows.select(

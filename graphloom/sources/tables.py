@@ -65,7 +65,7 @@ def parse_links_strict(lines: DataFrame, column: str = "value") -> DataFrame:
     rows = rows.select("line", F.size("fields").alias("n"), _inner(field(0)).alias("left"), _inner(field(1)).alias("right"), field(2).alias("score"))
     good = (F.col("n") == 3) & F.col("left").isNotNull() & F.col("right").isNotNull() & F.col("score").rlike(FLOAT)
     checked = F.when(good, F.col("score")).otherwise(F.raise_error(F.concat(F.lit("malformed link: "), "line")))
-    return rows.select("left", "right", checked.cast("double").alias("score"))
+    return rows.select(F.inline(F.array(F.struct("left", "right", checked.cast("double").alias("score")))))
 
 
 def parse_links_lenient(lines: DataFrame, column: str = "value") -> DataFrame:
