@@ -32,7 +32,7 @@ from ..plans.staging import stage
 from . import textkit as K
 
 #: Parts of an input split: texts to learn from or to score, by a hash, and, last, those that the weights are learned on.
-PARTS = 5
+PARTS = 11
 BUCKETS = 25  # of a context's frequency, for pairs and again for single tokens
 FINE, STEPS = (2, 2, 2), (32, 48, 96)  # steps an octave, and their number, of triples, pairs and tokens
 PAIR_BITS, WORD_BITS = 56, 62
@@ -164,7 +164,7 @@ def _counted(texts: pa.Table, totals: pa.Table):
         c = np.concatenate([np.zeros(0, np.int64), *(_unpack(v.as_buffer(), np.int64) for _, v in rows)])
         if len(c) != len(found):
             raise RuntimeError("a block's keys are not those that were counted; the input's partitions have changed")
-        index.append(at)
+        index.append(at.astype(np.int32))
         count.append(c[at].astype(np.float64))
     first = np.append(True, doc[1:] != doc[:-1])
     end = np.flatnonzero(np.append(first[1:], True))[0]
@@ -198,7 +198,7 @@ def _own(doc: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
     """How often the text of each position has ``of`` of that position among its ``at``."""
     width = int(max(at.max(), of.max())) + 1
     have, n = np.unique(doc * width + at, return_counts=True)
-    ask = doc * width + of
+    ask = doc * width + of  # doc is of 64 bits
     i = np.minimum(np.searchsorted(have, ask), len(have) - 1)
     return np.where(have[i] == ask, n[i], 0)
 
