@@ -35,6 +35,8 @@ from pyspark.sql import types as T
 from . import textkit as K
 
 WINDOW, STRIDE, HIDDEN = 64, 48, 10
+#: Windows scored at once; blocks are filled up to it, so that all have one shape.
+BLOCK = 512
 GRAMS = (4, 7)
 BITS = 18  # of the embeddings' indices
 SIZES = (8, 4, 4)  # of the embeddings of words and of n-grams
@@ -94,14 +96,19 @@ def windows(doc: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return first[text] + k * STRIDE, np.minimum(WINDOW, n[text] - k * STRIDE), text
 
 
-def gather(x: np.ndarray, at: np.ndarray, n: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(steps, windows, inputs) and the mask of steps that are words; ``word``: the row of ``x`` of each word."""
-    step = np.arange(int(n.max()) if len(n) else 1)
+def gather(x: np.ndarray, at: np.ndarray, n: np.ndarray, word: np.ndarray, steps: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(steps, windows, inputs) and the mask of steps that are words; ``word``: the row of ``x`` of each word; ``steps``: those of the longest window, if not given."""
+    step = np.arange(steps or (int(n.max()) if len(n) else 1))
     mask = step[:, None] < n[None, :]
     index = word[np.where(mask, at[None, :] + step[:, None], 0)]
     return x[index] * mask[..., None], mask.astype(f32)
 
 
+def _alone(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``x @ w`` in which a row's place does not matter; BLAS rounds equal rows apart, by their places."""
+    return np.einsum("bk,kj->bj", np.asfortranarray(x), w, order="F")
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return f32(0.5) * np.tanh(f32(0.5) * x) + f32(0.5)
 
@@ -113,19 +120,21 @@ class Network:
         w = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(f32)
         self.p = {"W0": w(inputs, 3 * H), "W1": w(inputs, 3 * H), "U0": w(H, 3 * H), "U1": w(H, 3 * H), "b0": np.zeros(3 * H, f32), "b1": np.zeros(3 * H, f32), "v": w(2 * H, 1), "o": w(2 * H, 1), "c": np.zeros(1, f32)}
 
-    def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
-        """Logits of windows; with ``keep`` also what ``backward`` needs."""
+    def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False, alone: bool = False):
+        """Logits of windows; with ``keep`` also what ``backward`` needs; with ``alone`` equal windows of equal shapes of ``x`` have equal logits."""
         H, (T, B, D) = HIDDEN, x.shape
+        times = _alone if alone else np.matmul
         states, tape = np.empty((T, B, 2 * H), f32), []
         full = mask.all(1)
         for d in (0, 1):
-            gates = (x.reshape(-1, D) @ self.p[f"W{d}"] + self.p[f"b{d}"]).reshape(T, B, 3 * H)
+            W, b = self.p[f"W{d}"], self.p[f"b{d}"]
+            gates = None if alone else (x.reshape(-1, D) @ W + b).reshape(T, B, 3 * H)
             U, h = self.p[f"U{d}"], np.zeros((B, H), f32)
             for t in range(T) if d == 0 else range(T - 1, -1, -1):
-                hu = h @ U
-                zr = _sigmoid(gates[t, :, : 2 * H] + hu[:, : 2 * H])
+                hu, gate = times(h, U), times(x[t], W) + b if alone else gates[t]
+                zr = _sigmoid(gate[:, : 2 * H] + hu[:, : 2 * H])
                 z, r = zr[:, :H], zr[:, H:]
-                new = np.tanh(gates[t, :, 2 * H :] + r * hu[:, 2 * H :])
+                new = np.tanh(gate[:, 2 * H :] + r * hu[:, 2 * H :])
                 out = new + z * (h - new)
                 if not full[t]:
                     m = mask[t][:, None]
@@ -133,11 +142,11 @@ class Network:
                 if keep:
                     tape.append((d, t, h, z, r, new, hu[:, 2 * H :]))
                 states[t, :, d * H : d * H + H] = h = out
-        e = (states.reshape(-1, 2 * H) @ self.p["v"]).reshape(T, B) + (mask - 1) * f32(1e9)
+        e = times(states.reshape(-1, 2 * H), self.p["v"]).reshape(T, B) + (mask - 1) * f32(1e9)
         a = np.exp(e - e.max(0))
         a /= a.sum(0)
         pooled = np.einsum("tb,tbh->bh", a, states)
-        logit = (pooled @ self.p["o"])[:, 0] + self.p["c"]
+        logit = times(pooled, self.p["o"])[:, 0] + self.p["c"]
         return (logit, (states, tape, a, pooled)) if keep else logit
 
     def backward(self, x, mask, kept, dlogit) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -189,9 +198,11 @@ class Model:
             x = _inputs(self.tables, slot, grams)
             at, n, text = windows(doc, j - i)
             best = np.full(j - i, -np.inf)
-            for k in range(0, len(at), 4096):
-                s = slice(k, k + 4096)
-                np.maximum.at(best, text[s], self.network.forward(*gather(x, at[s], n[s], word)))
+            for k in range(0, len(at), BLOCK):
+                s = slice(k, k + BLOCK)
+                fill = (0, BLOCK - len(at[s]))
+                logit = self.network.forward(*gather(x, np.pad(at[s], fill), np.pad(n[s], fill), word, WINDOW), alone=True)
+                np.maximum.at(best, text[s], logit[: len(at[s])])
             out[i:j] = np.where(np.isfinite(best), best, none)
         return out
 

@@ -286,6 +286,16 @@ def test_toxicity_on_held_out_texts():
     assert again[0] == again[1] < 0.7 and again[2] == again[3] and np.isclose(again[2], p[0])
 
 
+def test_toxicity_of_equal_texts_wherever_they_stand():
+    train = labelled(240, 1)
+    model = toxicity.fit([t for t, _ in train], [y for _, y in train], 0.25)
+    texts = [t for t, _ in labelled(90, 3)] + ["one", "two words"]
+    p = model.logits(pa.array(texts))
+    for k in range(1, 40, 3):
+        order = np.random.default_rng(k).integers(0, len(texts), k * 7)
+        assert (model.logits(pa.array([texts[i] for i in order])) == p[order]).all()
+
+
 def test_toxicity_without_both_classes():
     assert toxicity.fit([], [], 0.5).scores(pa.array(["a", None])).tolist() == [0.5, 0.5]
     assert toxicity.fit(["a"], [1], 0.5).scores(pa.array(["a"]))[0] > 0.99
