@@ -17,28 +17,33 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bytebpe, mixing, secrets, shingles, toxicity
+from graphloom.llm import bytebpe, mixing, secrets, shingles, textkit, toxicity
 from graphloom.plans.staging import stage, unstage
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    textkit.small_batches(spark)
     return toxicity.accept(docs, toxicity.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    textkit.small_batches(spark)
     return shingles.one_of_each_class(docs)
 
 
 def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    textkit.small_batches(spark)
     out = secrets.redact(docs)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    textkit.small_batches(spark)
     return mixing.mixed_documents(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    textkit.small_batches(spark)
     return bytebpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids_too=True)
 
 

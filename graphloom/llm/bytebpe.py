@@ -23,6 +23,8 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
+from . import textkit as K
+
 #: Pre-tokens whose ids a worker remembers at once.
 REMEMBERED = 400_000
 
@@ -149,7 +151,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, ids_too: bool = F
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", "text").mapInArrow(run, schema + ", ids array<int>" * ids_too)
+    return docs.select("doc_id", "text").mapInArrow(K.tidy(run), schema + ", ids array<int>" * ids_too)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

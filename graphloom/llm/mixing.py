@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..plans.offsets import running_totals
 from ..plans.staging import stage
+from . import textkit as K
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 64
@@ -193,7 +194,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
                 out[chars] = pa.array([len(t) for t in texts]).cast(out[chars].type)
             yield pa.RecordBatch.from_arrays(out, columns)
 
-    return full.select(*columns, "_mix_used").mapInArrow(run, docs.schema)
+    return full.select(*columns, "_mix_used").mapInArrow(K.tidy(run), docs.schema)
 
 
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -345,7 +345,7 @@ def scan(docs: DataFrame, net: Network | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *counts, sums, pa.array([_joined(f) for f in found], pa.string()), *more], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_confirmed", "n_net"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long, n_net long")
+    return docs.select("doc_id", "text").mapInArrow(K.tidy(run), f"doc_id {id_type}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long, n_net long")
 
 
 def redact(docs: DataFrame, net: Network | None = None, mark: str = "[SECRET]") -> DataFrame:
@@ -366,7 +366,7 @@ def redact(docs: DataFrame, net: Network | None = None, mark: str = "[SECRET]")
             texts = [t.as_py() if not f else cut(t.as_py(), f) for t, f in zip(b.column(at), found, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, b.column(at).type) if k == at else c for k, c in enumerate(b.columns)], b.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(K.tidy(run), docs.schema)
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -214,8 +214,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _candidates(docs: DataFrame, told, total: int) -> DataFrame:
     """Names of the sets that share enough of their prefixes with others to link with one."""
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // 5_000_000)
-    entries = docs.mapInArrow(_entries(told), "key long, set long, n int").repartition(parts, "key").sortWithinPartitions("key", "set")
-    shared = entries.mapInArrow(_shared, "set long, n long, c long").groupBy("set", "n").agg(F.sum("c").alias("c"))
+    entries = docs.mapInArrow(K.tidy(_entries(told)), "key long, set long, n int").repartition(parts, "key").sortWithinPartitions("key", "set")
+    shared = entries.mapInArrow(K.tidy(_shared), "set long, n long, c long").groupBy("set", "n").agg(F.sum("c").alias("c"))
     least = F.ceil(F.abs("n") * F.lit(SIMILAR) / F.lit(100))
     return shared.where(F.col("c") >= F.greatest(F.lit(1), F.floor(least / F.lit(MORE)))).select("set").distinct()
 
@@ -347,7 +347,7 @@ def set_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, set, n_shingles) of each text, and (node, root) of the sets that are not the least of their component."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = stage(docs.mapInArrow(_sets_and_common, "kind int, a long, b long, c long"))
+    first = stage(docs.mapInArrow(K.tidy(_sets_and_common), "kind int, a long, b long, c long"))
     sets = first.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("set"), F.col("c").alias("n_shingles"))
     counts = first.where("kind = 1").groupBy("a").agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON)
     top = counts.orderBy(F.desc("c"), "a").limit(MOST_COMMON).toPandas()
@@ -356,7 +356,7 @@ def set_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ids = stage(_candidates(docs, told, sets.agg(F.sum("n_shingles")).first()[0] or 0))
     told.unpersist()
     bloom = _wanted(spark, ids)
-    arrays = stage(docs.select("text").mapInArrow(_arrays(bloom), "set long, members array<long>").join(ids, "set", "left_semi").dropDuplicates(["set"]))
+    arrays = stage(docs.select("text").mapInArrow(K.tidy(_arrays(bloom)), "set long, members array<long>").join(ids, "set", "left_semi").dropDuplicates(["set"]))
     bloom.unpersist()
     ranked = stage(_ranked(arrays))
     unstage(arrays, ids)

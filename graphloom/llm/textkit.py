@@ -1,11 +1,13 @@
-"""Words of Arrow text columns as numpy arrays: no Python object is made for a word."""
+"""Words of Arrow text columns as numpy arrays: no Python object is made for a word. Memory of the Python workers that read them."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 U64 = np.uint64
 SPACE = np.zeros(256, bool)
@@ -14,6 +16,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BASE, _INVERSE = U64(0x9E3779B97F4A7C15 | 1), U64(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
 _powers = [np.ones(1, U64), np.ones(1, U64)]
+#: Of a batch of texts.
+BATCH_BYTES, _BATCH = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -27,6 +31,31 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python BATCH_BYTES at a time, if the session sets no size of its own: by Spark's, a task's texts are one batch, which the JVM and Python each hold twice."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """What this process has freed goes back to the system: Spark keeps a Python worker, with all it holds, beside the executor's JVM."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` of a mapInArrow, which gives memory back when its task ends."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash."""
     x = x ^ (x >> U64(33))

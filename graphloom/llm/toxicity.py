@@ -392,6 +392,7 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
     def run(t: pa.Table) -> pa.Table:
         found = sorted(zip((zlib.crc32(str(d).encode()) for d in t.column("doc_id").to_pylist()), (x or "" for x in t.column("text").to_pylist()), t.column("toxic").to_pylist(), strict=True))
         model = fit([x for _, x, _ in found], [y for _, _, y in found], share)
+        K.give_back()
         return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
     made = chosen.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(run, "model binary").collect()
@@ -408,7 +409,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             p = told.value.scores(b.column(names.index("text")))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p), pa.array((p >= REJECT).astype(np.int32))], [*names, "score", "predicted"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return docs.mapInArrow(K.tidy(run), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def accept(docs: DataFrame, model: Model) -> DataFrame:
@@ -419,7 +420,7 @@ def accept(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(told.value.scores(b.column(at)) < REJECT))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(K.tidy(run), docs.schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -275,3 +275,36 @@ def test_pipeline(spark, docs, rows, tmp_path):
         assert 0 < out.count() and {r[0] for r in out.select("doc_id").collect()} <= {r[0] for r in now.select("doc_id").collect()}
         now = out
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {r["doc_id"] for r in now.collect()}
+
+
+def test_pipeline_hands_python_small_batches(spark):
+    """A task's texts were one batch, up to Spark's 64 MB; a size that the session sets stays."""
+    import corpus_pipeline
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 2000) AS text")
+
+    def told(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], ["bytes", "rows"])
+
+    spark.conf.unset(name)
+    try:
+        corpus_pipeline.secrets_out(spark, docs, "")
+        found = docs.mapInArrow(told, "bytes long, rows long").collect()
+        assert max(r["bytes"] for r in found) < 6e6 and sum(r["rows"] for r in found) == 3000
+        spark.conf.set(name, "1m")
+        corpus_pipeline.secrets_out(spark, docs, "")
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.unset(name)
+
+
+def test_memory_goes_back_when_a_task_ends(monkeypatch):
+    from graphloom.llm import textkit
+
+    ends = []
+    monkeypatch.setattr(textkit, "give_back", lambda: ends.append(1))
+    rows = textkit.tidy(iter)([1, 2])
+    assert next(rows) == 1 and not ends
+    assert list(rows) == [2] and ends == [1]
