@@ -164,9 +164,9 @@ def _wanted(spark: SparkSession, ids: DataFrame):
     words = 1 << int(np.clip(np.ceil(np.log2(max(1, ids.count()) / 4)), 10, 21))
     at = [F.col("set").bitwiseAND(F.lit(words * 64 - 1)), F.shiftrightunsigned("set", 32).bitwiseAND(F.lit(words * 64 - 1))]
     bits = ids.select(F.explode(F.array(*at)).alias("bit")).select(F.shiftright("bit", 6).alias("w"), F.col("bit").bitwiseAND(F.lit(63)).cast("int").alias("b"))
-    found = bits.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("m")).toPandas()
+    found = bits.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("m")).toArrow()  # Python objects of the rows would take the driver several times their size
     out = np.zeros(words, np.int64)
-    out[found["w"].to_numpy(np.int64)] = found["m"].to_numpy(np.int64)
+    out[found["w"].to_numpy()] = found["m"].to_numpy()
     return spark.sparkContext.broadcast(out)
 
 
@@ -350,9 +350,10 @@ def set_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = stage(docs.mapInArrow(K.tidy(_sets_and_common), "kind int, a long, b long, c long"))
     sets = first.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("set"), F.col("c").alias("n_shingles"))
     counts = first.where("kind = 1").groupBy("a").agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON)
-    top = counts.orderBy(F.desc("c"), "a").limit(MOST_COMMON).toPandas()
-    order = np.argsort(top["a"].to_numpy(np.int64).view(K.U64))
-    told = spark.sparkContext.broadcast((top["a"].to_numpy(np.int64).view(K.U64)[order], top["c"].to_numpy(np.int64)[order]))
+    top = counts.orderBy(F.desc("c"), "a").limit(MOST_COMMON).toArrow()
+    often, count = np.ascontiguousarray(top["a"].to_numpy()).view(K.U64), top["c"].to_numpy()
+    order = np.argsort(often)
+    told = spark.sparkContext.broadcast((often[order], count[order]))
     ids = stage(_candidates(docs, told, sets.agg(F.sum("n_shingles")).first()[0] or 0))
     told.unpersist()
     bloom = _wanted(spark, ids)
